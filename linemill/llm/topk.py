@@ -58,12 +58,14 @@ def top_k(df: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str =
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, its k best other rows."""
     spark = df.sparkSession
     vectors = reliable(quantized(df, id_col, vector_col, scale))
-    shape = vectors.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("m"), F.max(F.expr("aggregate(q, 0D, (a, x) -> greatest(a, abs(cast(x as double))))")).alias("top"), F.max(F.size("q")).alias("width")).first()
+    shape = vectors.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("m"), F.max(F.expr("aggregate(q, 0D, (a, x) -> a + cast(x as double) * cast(x as double))")).alias("top")).first()
     out_schema = "query_id long, rank int, vec_id long, score long"
     if not shape["n"] or not shape["m"]:
         return spark.createDataFrame([], out_schema)
-    bound = int(shape["top"]) ** 2 * int(shape["width"]) + 1
-    levels = [BINS ** i for i in range(64) if i == 0 or BINS**i <= 2 * bound + 1][::-1]
+    bound = int(shape["top"] * 1.000001) + 1  # of every |score|, as the largest squared length
+    levels = [-(-(2 * bound + 1) // BINS)]
+    while levels[-1] > 1:
+        levels.append(-(-levels[-1] // BINS))
     q_blocks = -(-int(shape["m"]) // query_block)
     c_blocks = max(1, -(-int(shape["n"]) // candidate_block))
     lanes = max(1, min(c_blocks, spark.sparkContext.defaultParallelism * 4 // q_blocks or 1))
@@ -102,6 +104,9 @@ def top_k(df: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str =
 
     state = queries.select("qb", F.col("vec_id").alias("query_id"))
     state = state.select("qb", "query_id", F.lit(-bound).cast("long").alias("low"), F.lit(k).cast("long").alias("need"))
+    def asked_of(state: DataFrame) -> DataFrame:
+        return each_lane.join(state.withColumnRenamed("query_id", "vec_id"), ["qb", "vec_id"]).select("qb", "lane", "vec_id", "q", "low", "need")
+
     def histogram_of(step: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         def histogram(left: pa.Table, right: pa.Table) -> pa.Table:
             counts = np.zeros((left.num_rows, BINS), np.int64)
@@ -111,25 +116,27 @@ def top_k(df: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str =
                 fine &= (bins >= 0) & (bins < BINS)
                 r, c = np.nonzero(fine)
                 counts += np.bincount(rows[r] * BINS + bins[r, c], minlength=counts.size).reshape(counts.shape)
-            return pa.table({"query_id": left["vec_id"], "counts": pa.ListArray.from_arrays(np.arange(0, counts.size + 1, BINS, dtype=np.int32), counts.ravel())})
+            # Below the bin of the lane's own k-th nothing can matter: the k-th of all lanes is no lower.
+            above = counts[:, ::-1].cumsum(axis=1)[:, ::-1] - counts
+            r, c = np.nonzero((counts > 0) & (above < left["need"].to_numpy()[:, None]))
+            return pa.table({"query_id": left["vec_id"].to_numpy()[r], "bin": c.astype(np.int32), "n": counts[r, c]})
 
         return histogram
 
     for step in levels:
-        asked = each_lane.join(state.withColumnRenamed("query_id", "vec_id"), ["qb", "vec_id"]).select("qb", "lane", "vec_id", "q", "low")
-        part = asked.groupBy("qb", "lane").cogroup(candidates.groupBy("qb", "lane")).applyInArrow(histogram_of(step), "query_id long, counts array<long>")
-        summed = part.groupBy("query_id").agg(*(F.sum(F.col("counts")[i]).alias(f"b{i}") for i in range(BINS)))
-        # The bin of the k-th: the highest at which the count from above reaches what is still needed; the lowest bin if there are fewer.
-        counts = F.array(*(F.col(f"b{i}") for i in range(BINS)))
+        part = asked_of(state).groupBy("qb", "lane").cogroup(candidates.groupBy("qb", "lane")).applyInArrow(histogram_of(step), "query_id long, bin int, n long")
+        summed = part.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+        bins = summed.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("bin", "n")), asc=False).alias("bins"))  # BINS at most
+        # The bin of the k-th: the highest at which the count from above reaches what is still needed; none if there are fewer.
         found = F.aggregate(
-            F.sequence(F.lit(BINS - 1), F.lit(0)),
+            "bins",
             F.struct(F.lit(0).cast("long").alias("above"), F.lit(-1).alias("bin")),
-            lambda a, i: F.when(a["bin"] >= 0, a).when(a["above"] + F.get(F.col("counts"), i) >= F.col("need"), F.struct(a["above"].alias("above"), i.alias("bin"))).otherwise(F.struct((a["above"] + F.get(F.col("counts"), i)).alias("above"), a["bin"].alias("bin"))),
+            lambda a, b: F.when(a["bin"] >= 0, a).otherwise(F.struct((a["above"] + F.when(a["above"] + b["n"] >= F.col("need"), 0).otherwise(b["n"])).alias("above"), F.when(a["above"] + b["n"] >= F.col("need"), b["bin"]).otherwise(-1).alias("bin"))),
         )
         state = reliable(
-            state.join(summed.select("query_id", counts.alias("counts")), "query_id")
-            .select("qb", "query_id", "low", "need", found.alias("f"))
-            .select("qb", "query_id", F.when(F.col("f.bin") < 0, F.col("low")).otherwise(F.col("low") + F.col("f.bin").cast("long") * step).alias("low"), F.when(F.col("f.bin") < 0, F.col("need")).otherwise(F.col("need") - F.col("f.above")).alias("need"))
+            state.join(bins, "query_id", "left")
+            .select("qb", "query_id", "low", "need", F.coalesce(found["bin"], F.lit(-1)).alias("bin"), found["above"].alias("above"))
+            .select("qb", "query_id", F.when(F.col("bin") < 0, F.col("low")).otherwise(F.col("low") + F.col("bin").cast("long") * step).alias("low"), F.when(F.col("bin") < 0, F.col("need")).otherwise(F.col("need") - F.col("above")).alias("need"))
         )
 
     def passing(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -149,8 +156,7 @@ def top_k(df: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str =
         top = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
         return pa.table({"query_id": ids[q[top]], "vec_id": v[top], "score": s[top]}) if len(q) else pa.table({x: pa.array([], pa.int64()) for x in ("query_id", "vec_id", "score")})
 
-    asked = each_lane.join(state.withColumnRenamed("query_id", "vec_id"), ["qb", "vec_id"]).select("qb", "lane", "vec_id", "q", "low")
-    rows = asked.groupBy("qb", "lane").cogroup(candidates.groupBy("qb", "lane")).applyInArrow(passing, "query_id long, vec_id long, score long")
+    rows = asked_of(state).groupBy("qb", "lane").cogroup(candidates.groupBy("qb", "lane")).applyInArrow(passing, "query_id long, vec_id long, score long")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k)
     ranked = rows.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("rank", "hit"))
     return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.minus")).alias("score"))
