@@ -107,13 +107,13 @@ def top_k(df: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str =
     def asked_of(state: DataFrame) -> DataFrame:
         return each_lane.join(state.withColumnRenamed("query_id", "vec_id"), ["qb", "vec_id"]).select("qb", "lane", "vec_id", "q", "low", "need")
 
-    def histogram_of(step: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def histogram_of(step: int, width: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         def histogram(left: pa.Table, right: pa.Table) -> pa.Table:
             counts = np.zeros((left.num_rows, BINS), np.int64)
             low = left["low"].to_numpy()
             for rows, _, scores, fine in scored(left, right):
                 bins = (scores - low[rows][:, None]) // step
-                fine &= (bins >= 0) & (bins < BINS)
+                fine &= (bins >= 0) & (scores < low[rows][:, None] + width)  # the bin that the level above chose
                 r, c = np.nonzero(fine)
                 counts += np.bincount(rows[r] * BINS + bins[r, c], minlength=counts.size).reshape(counts.shape)
             # Below the bin of the lane's own k-th nothing can matter: the k-th of all lanes is no lower.
@@ -123,8 +123,8 @@ def top_k(df: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str =
 
         return histogram
 
-    for step in levels:
-        part = asked_of(state).groupBy("qb", "lane").cogroup(candidates.groupBy("qb", "lane")).applyInArrow(histogram_of(step), "query_id long, bin int, n long")
+    for width, step in zip([levels[0] * BINS, *levels], levels, strict=False):
+        part = asked_of(state).groupBy("qb", "lane").cogroup(candidates.groupBy("qb", "lane")).applyInArrow(histogram_of(step, width), "query_id long, bin int, n long")
         summed = part.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         bins = summed.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("bin", "n")), asc=False).alias("bins"))  # BINS at most
         # The bin of the k-th: the highest at which the count from above reaches what is still needed; none if there are fewer.
