@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linemill.llm import chat, pii, topk
+from linemill.llm import chat, pii, suffix_dedup, topk
 from linemill.llm._common import table
 
 #: A conversation in which texts hold the template's own control strings.
@@ -27,8 +27,13 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_strings(table(spark, sf_dir, "documents"), with_kept=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op3_chat_format": op3_chat_format,
     "op8_exact_topk": op8_exact_topk,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
