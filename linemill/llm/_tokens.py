@@ -11,6 +11,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -138,3 +139,16 @@ def window_minimum(values: np.ndarray, w: int) -> np.ndarray:
         best, arg = np.where(right, best[d:], best[:-d]), np.where(right, arg[d:], arg[:-d])
         size += d
     return arg
+
+
+def slices(batch: pa.RecordBatch | pa.Table, column: str, limit: int = 4 << 20):
+    """A batch's rows in order, cut where more than ``limit`` bytes of text would come together."""
+    col = batch[column]
+    sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0)
+    total = np.cumsum(np.asarray(sizes.combine_chunks() if isinstance(sizes, pa.ChunkedArray) else sizes))
+    lo = 0
+    while lo < batch.num_rows:
+        before = int(total[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(total, before + limit, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi

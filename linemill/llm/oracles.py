@@ -1,6 +1,27 @@
 """DuckDB statements for the operators that SQL can express."""
 
 ORACLES: dict[str, str] = {
+    "op2_line_dedup": """
+WITH parts AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
+), full_lines AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM parts WHERE line <> ''
+), windows AS (
+  SELECT doc_id, r, line, length(line) - length(replace(line, ' ', '')) + 1 AS words,
+    line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY r) AS two FROM full_lines
+), later AS (
+  SELECT doc_id, r FROM (SELECT doc_id, r, row_number() OVER (PARTITION BY two ORDER BY doc_id, r) AS k FROM windows WHERE two IS NOT NULL) WHERE k > 1
+), gone AS (
+  SELECT doc_id, r FROM later
+  UNION SELECT doc_id, r + 1 FROM later
+  UNION SELECT doc_id, r FROM (SELECT doc_id, r, row_number() OVER (PARTITION BY line ORDER BY doc_id, r) AS k FROM windows WHERE words >= 50) WHERE k > 1
+), marked AS (
+  SELECT p.doc_id, p.i, p.line, f.r IS NOT NULL AS is_line, g.r IS NOT NULL AS is_gone
+  FROM parts p LEFT JOIN full_lines f ON p.doc_id = f.doc_id AND p.i = f.i LEFT JOIN gone g ON f.doc_id = g.doc_id AND f.r = g.r
+)
+SELECT doc_id, CAST(count(*) FILTER (is_line) AS BIGINT) AS n_lines, CAST(count(*) FILTER (is_gone) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT is_gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""",
     "op3_chat_format": r"""
 WITH rows_ AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -17,6 +38,27 @@ WITH rows_ AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
   sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
 FROM digest""",
+    "op5_decontaminate": r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), iw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS win
+  FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS i FROM iw WHERE len(w) > 0)
+), doc_windows AS (
+  SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM dw, (SELECT DISTINCT n FROM item_windows) WHERE len(w) >= n)
+), hits AS (
+  SELECT d.doc_id, d.i, d.n, b.item_id FROM doc_windows d JOIN item_windows b ON d.n = b.n AND d.win = b.win
+), words_hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id
+), item_lists AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw d LEFT JOIN words_hit USING (doc_id) LEFT JOIN item_lists USING (doc_id)""",
     "op8_exact_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
