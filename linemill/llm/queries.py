@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linemill.llm import chat, decontaminate, line_dedup, pii, suffix_dedup, topk
+from linemill.llm import chat, decontaminate, jaccard, line_dedup, pii, suffix_dedup, topk
 from linemill.llm._common import table
 
 #: A conversation in which texts hold the template's own control strings.
@@ -39,6 +39,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated_strings(table(spark, sf_dir, "documents"), with_kept=False)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_line_dedup": op2_line_dedup,
@@ -46,4 +50,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op8_exact_topk": op8_exact_topk,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
 }
