@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linemill.llm import chat, decontaminate, jaccard, line_dedup, pii, suffix_dedup, topk
+from linemill.llm import chat, decontaminate, jaccard, line_dedup, mixing, pii, quality, suffix_dedup, topk
 from linemill.llm._common import table
 
 #: A conversation in which texts hold the template's own control strings.
@@ -27,10 +27,18 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(rows.unionByName(extra))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -47,7 +55,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_line_dedup": op2_line_dedup,
     "op3_chat_format": op3_chat_format,
+    "op4_mixing": op4_mixing,
     "op5_decontaminate": op5_decontaminate,
+    "op7_quality": op7_quality,
     "op8_exact_topk": op8_exact_topk,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_jaccard_join": op10_jaccard_join,
