@@ -302,3 +302,15 @@ def _compared(asked: DataFrame, content: DataFrame) -> DataFrame:
 
 def jaccard_report(docs: DataFrame) -> DataFrame:
     return jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs that name their component; of rows that repeat such an id and its text one, and all without an id.
+
+    The texts aren't shuffled for it where the losers' ids are few enough to broadcast; Spark decides by their size.
+    """
+    found = jaccard_components(docs)
+    losers = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_id"), F.col("_lm_key").alias("_key")).distinct()
+    kept = docs.join(losers, (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left_anti")
+    again = found.groupBy("doc_id", "_lm_key").count().where("count > 1 and doc_id is not null").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if again else kept
