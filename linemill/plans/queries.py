@@ -267,8 +267,7 @@ def q26(spark, d):
 def q27(spark, d):
     path = scratch(spark) + ".indexed"
     archive.write_indexed(r.parsed(lines(spark, d, "customer"), "strict"), path, 500, "zstd")
-    start, end = c.row_range("250-1260")
-    return archive.read_archive(spark, path, "zstd", indexed=True).where(F.col("row_no").between(start, end)).select("row_no", "line")
+    return archive.read_archive(spark, path, "zstd", indexed=True, rows=c.row_range("250-1260")).select("row_no", "line")
 
 
 @_query("q28_preview", rf"SELECT block_id, line_no, CASE WHEN length(x) > 100 THEN left(x, 100) || '...' ELSE x END AS line FROM (SELECT block_id, line_no, regexp_replace(line, '[\r\n]+$', '') AS x FROM {lines_sql('documents')} WHERE line_no < 6)")

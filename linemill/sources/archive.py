@@ -1,9 +1,10 @@
 """Archives as Spark data sources: ``linemill`` (blocks one after another) and ``linemill-indexed`` (row groups with an
 index at the end, read by row range).
 
-Register with ``register(spark)``. Reading yields (block_id, row_no, line); with
-``spark.sql.python.filterPushdown.enabled`` comparisons of row_no prune blocks before they are opened. Writing takes
-(block_id, line_no, line) partitions or blocks: see ``write_archive``. Paths go through pyarrow's file systems, so that
+Register with ``register(spark)``. Reading yields (block_id, row_no, line); option ``rows`` ("low:high", from 0, inclusive)
+prunes row groups before they are opened. It is an option and not a pushed filter, as a relation that was read once with
+a pushed filter keeps that filter when it is read again without. Writing takes rows of BLOCKS: see ``write_archive``.
+Paths go through pyarrow's file systems, so that
 whatever it can reach (local, S3, GCS, HDFS) works on every executor.
 """
 
@@ -17,13 +18,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from linemill.sources.codecs import codec as codec_of
 from linemill.sources.framing import HEADER, RAW, Corrupt, Stored, index_bytes, opened, opened_group, read_index
 
 LINES = "block_id long, row_no long, line string"
+LAST_ROW = (1 << 63) - 1
 BLOCKS = "block_no long, num_rows long, kind int, data binary"
 
 
@@ -45,22 +47,16 @@ class BlockPart(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.codec = options["path"], options.get("codec", "xz")
-        self.low, self.high = 0, (1 << 63) - 1
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if getattr(f, "attribute", None) == ("row_no",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
-                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
-                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
-                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
-                    self.high = min(self.high, f.value - isinstance(f, LessThan))
-            yield f  # Spark filters rows again
+        low, _, high = options.get("rows", "").partition(":")
+        self.low, self.high = int(low or 0), int(high or LAST_ROW)
 
     def _wanted(self, first: int, rows: int) -> bool:
         return rows > 0 and first + rows > self.low and first <= self.high
 
     def _emit(self, part: BlockPart, lines: list[bytes]) -> Iterator[tuple]:
         for i, line in enumerate(lines):
+            if not self.low <= part.first_row + i <= self.high:
+                continue
             yield part.block_no, part.first_row + i, line.decode("utf-8", "surrogateescape").encode("utf-8", "replace").decode()
 
 
@@ -85,7 +81,9 @@ class ArchiveReader(_Reader):
                 at += size
         return out
 
-    def read(self, part: BlockPart) -> Iterator[tuple]:
+    def read(self, part: BlockPart | None) -> Iterator[tuple]:
+        if part is None:  # Spark asks once where there are no partitions
+            return
         system, path = _file(self.path)
         with system.open_input_file(path) as f:
             f.seek(part.offset)
@@ -93,8 +91,7 @@ class ArchiveReader(_Reader):
         crc, a, b, c, flag = HEADER.unpack_from(data)
         at = HEADER.size
         lines = opened(Stored(crc, data[at : at + a], data[at + a : at + a + b], data[at + a + b : at + a + b + c], flag), codec_of(self.codec))
-        rows = [(n, row, line) for n, row, line in self._emit(part, lines) if self.low <= row <= self.high]
-        yield from rows
+        yield from self._emit(part, lines)
 
 
 class IndexedReader(_Reader):
@@ -112,14 +109,16 @@ class IndexedReader(_Reader):
             entries = read_index(at) if end else []
         out, first = [], 0
         for i, (offset, size, rows, kind) in enumerate(entries):
-            if kind == 1 and (self.low > 0 or self.high < (1 << 63) - 1):
+            if kind == 1 and (self.low > 0 or self.high < LAST_ROW):
                 raise Corrupt("a raw group has no rows to select")
             if kind == 1 or self._wanted(first, rows):
                 out.append(BlockPart(i, offset, size, first, kind))
             first += rows
         return out
 
-    def read(self, part: BlockPart) -> Iterator[tuple]:
+    def read(self, part: BlockPart | None) -> Iterator[tuple]:
+        if part is None:  # Spark asks once where there are no partitions
+            return
         system, path = _file(self.path)
         with system.open_input_file(path) as f:
             f.seek(part.offset)
@@ -212,7 +211,6 @@ class IndexedSource(DataSource):
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ArchiveSource)
     spark.dataSource.register(IndexedSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def write_archive(encoded: DataFrame, path: str) -> None:
@@ -236,9 +234,11 @@ def write_archive(encoded: DataFrame, path: str) -> None:
     head.mapInArrow(frame, BLOCKS).write.format("linemill").option("path", path).mode("append").save()
 
 
-def read_archive(spark: SparkSession, path: str, codec: str = "xz", indexed: bool = False) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, codec: str = "xz", indexed: bool = False, rows: tuple[int, int] | None = None) -> DataFrame:
+    """(block_id, row_no, line); ``rows``: first and last row wanted, from 0. An indexed archive opens no other groups."""
     register(spark)
-    return spark.read.format("linemill-indexed" if indexed else "linemill").option("path", path).option("codec", codec).load()
+    reader = spark.read.format("linemill-indexed" if indexed else "linemill").option("path", path).option("codec", codec)
+    return (reader.option("rows", f"{rows[0]}:{min(rows[1], LAST_ROW)}") if rows else reader).load()
 
 
 def group_blocks(parsed_lines: DataFrame, rows: int, codec: str = "xz") -> DataFrame:

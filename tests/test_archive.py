@@ -1,0 +1,120 @@
+"""Byte layouts, round trips of everything that once lost data, archives and row ranges."""
+
+import struct
+import zlib
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from linemill.operators import blocks as b
+from linemill.operators import registry as r
+from linemill.plans import engine
+from linemill.sources import archive, framing
+from linemill.sources.codecs import CODECS, codec, register, xz
+
+
+def blocks(spark, *payloads):
+    return spark.createDataFrame([(f"{i:03d}", bytearray(p)) for i, p in enumerate(payloads)], "block_id string, payload binary")
+
+
+PAYLOADS = [
+    b"\x22caf\xe9\x22,1\n",  # quoted Latin-1
+    b'"a",1\n"",2\n',  # an empty value at the end of the first column
+    b'"' + b"\x01\x03" + b"x" * 400 + b'"\n' + b"y" * 400,
+    b'"' + b"z" * 300 + b'"\n"q\x00"',  # a value that ends in the value terminator, as the last row
+    ("é€" * 12_000 + " 5\n").encode(),
+    b"a 1\r\nb 2\n\nc 3\r\n\nd",
+    b"same\nsame\nsame\n",
+    b"",
+    b"\n",
+    b"x",
+    b"0x1F 1F -5 5-5\n" * 20,
+    bytes(range(256)) * 10,
+    "\ue000 reserved\n".encode(),
+    "".join("=" * (i + 1) + "\n" for i in range(300)).encode(),  # too many templates
+    "".join("=" * (i + 1) + " 7\n" for i in range(100) for _ in range(12)).encode(),
+]
+
+
+def test_everything_comes_back(spark):
+    for name in ("zlib", "xz-fast"):
+        encoded = engine.encode(blocks(spark, *PAYLOADS), name).cache()
+        back = {x.block_id: bytes(x.payload) for x in engine.decode(encoded, name).collect()}
+        assert back == {f"{i:03d}": p for i, p in enumerate(PAYLOADS)}
+        assert all(x.ok for x in engine.verify(encoded, name).collect())
+    rows = {x.block_id: x for x in encoded.collect()}
+    assert rows["000"].flag & framing.LATIN and rows["011"].reason == "Passthrough [Binary]" and rows["012"].reason == "Collision Protected"
+    assert rows["013"].reason == "Passthrough [Entropy]" and rows["006"].flag == framing.NO_IDS and rows["006"].n_lines == 3
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.binary(max_size=200) | st.text(alphabet='ab1 ".\\\n\r\x01\x02é', max_size=200).map(str.encode), min_size=1, max_size=8))
+def test_random_blocks_come_back(spark, payloads):
+    encoded = engine.encode(blocks(spark, *payloads), "zlib")
+    assert {x.block_id: bytes(x.payload) for x in engine.decode(encoded, "zlib").collect()} == {f"{i:03d}": p for i, p in enumerate(payloads)}
+
+
+def test_byte_layout():
+    p = engine.parsed_from(['"\ue000",\ue000\n'] * 2, [["a", "1"], ["", "2"]], False)
+    registry, ids, values = framing.streams(p)
+    assert values == bytes.fromhex("61 00 02 31 00 32 02") and ids == b"" and registry == '"\ue000",\ue000\n'.encode()
+    payload = b'"a",1\n"",2\n'
+    s = framing.stored(payload, p, codec("none"), "unified")
+    assert s.c_vars == struct.pack("<II", len(registry), 0) + registry + values and s.flag == framing.NO_IDS
+    head = s.to_bytes()[:17]
+    assert struct.unpack("<IIIIB", head) == (zlib.crc32(payload), 0, 0, len(s.c_vars), 3)
+    assert framing.stuffed(b"\x01\x03") == b"\x01\x01\x03" and framing.unstuffed(b"\x01\x01\x03") == b"\x01\x03"
+    many = engine.parsed_from([f"{'=' * i}\n" for i in (1, 2, 2)], [[], [], []], False)
+    assert framing.streams(many)[1] == b"\x00\x01\x01" and framing.streams(framing.by_frequency(many))[1] == b"\x01\x00\x00"
+
+
+def test_corruption_is_told_and_nothing_given_out(spark):
+    encoded = engine.encode(blocks(spark, b"a 1\nb 2\n", b"c 3\n"), "zlib").cache()
+    from pyspark.sql import functions as F
+
+    bad = encoded.withColumn("crc32", F.when(F.col("block_id") == "000", F.col("crc32").bitwiseXOR(F.lit(1))).otherwise(F.col("crc32")))
+    got = {x.block_id: x for x in engine.verify(bad, "zlib").collect()}
+    assert not got["000"].ok and got["000"].n_lines == 0 and got["001"].ok
+    with pytest.raises(Exception, match="checksum"):
+        engine.decode(bad, "zlib").collect()
+    for data in (b"", b"1234567", struct.pack("<II", 99, 0)):
+        with pytest.raises(framing.Corrupt):
+            framing.opened(framing.Stored(0, b"", b"", data, 2), codec("none"))
+
+
+def test_archive_file(spark, tmp_path):
+    payloads = [b"a 1\nb 2\n", b'"x",5\n' * 50, b"\x00" * 30]
+    encoded = engine.encode(blocks(spark, *payloads), "zlib")
+    path = str(tmp_path / "x.arc")
+    archive.write_archive(encoded, path)
+    got = archive.read_archive(spark, path, "zlib").orderBy("block_id", "row_no").collect()
+    assert [x.line for x in got if x.block_id == 0] == ["a 1\n", "b 2\n"] and sum(x.block_id == 1 for x in got) == 50
+    assert [p.name for p in tmp_path.iterdir() if "x.arc." in p.name] == []
+    raw = open(path, "rb").read()
+    (tmp_path / "cut.arc").write_bytes(raw[:-3])
+    with pytest.raises(Exception, match="ends inside"):
+        archive.read_archive(spark, str(tmp_path / "cut.arc"), "zlib").collect()
+
+
+def test_indexed_archive_reads_only_the_groups_asked_for(spark, tmp_path):
+    lines = b.lines_of_blocks(blocks(spark, "".join(f"k{i},{i * 7}\n" for i in range(5000)).encode()))
+    path = str(tmp_path / "x.idx")
+    archive.write_indexed(r.parsed(lines, "strict"), path, 1000, "zlib")
+    df = archive.read_archive(spark, path, "zlib", indexed=True)
+    part = archive.read_archive(spark, path, "zlib", indexed=True, rows=(2249, 2259))
+    assert [x.line for x in part.orderBy("row_no").collect()] == [f"k{i},{i * 7}\n" for i in range(2249, 2260)]
+    assert part.rdd.getNumPartitions() == 1 and df.rdd.getNumPartitions() == 5 and df.count() == 5000
+    raw = open(path, "rb").read()
+    assert raw[-5:] == framing.MAGIC
+    (tmp_path / "bad.idx").write_bytes(raw[:-1] + b"\x02")
+    with pytest.raises(Exception, match="no index"):
+        archive.read_archive(spark, str(tmp_path / "bad.idx"), "zlib", indexed=True).collect()
+
+
+def test_codecs():
+    data = b"line 1\n" * 1000
+    register("twice", lambda x: x + x, lambda x: x[: len(x) // 2])
+    for name in CODECS:
+        assert codec(name).decompress(codec(name).compress(data)) == data
+    assert codec("unknown") is CODECS["xz"] and xz(1 << 16).decompress(codec("xz").compress(data)) == data

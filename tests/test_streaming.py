@@ -1,0 +1,27 @@
+"""Streams give what the same rows give as a table."""
+
+import datetime
+
+from pyspark.sql import functions as F
+
+from linemill.plans import engine
+from linemill.streaming import row_groups
+
+
+def test_row_groups_and_counts(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start + datetime.timedelta(minutes=i), f"user {i} did {'x' if i % 3 else 'y'}") for i in range(300)]
+    df = spark.createDataFrame(rows, "n long, ts timestamp, line string")
+    for i in range(3):
+        df.where(F.col("n") % 3 == i).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    row_groups.encode_stream(stream, "n", "line", str(tmp_path / "out"), str(tmp_path / "state"), "zlib").awaitTermination()
+    encoded = spark.read.parquet(str(tmp_path / "out"))
+    assert encoded.select("batch").distinct().count() == 3
+    lines = [x for p in engine.decode(encoded, "zlib").collect() for x in bytes(p.payload).decode().splitlines()]
+    assert sorted(lines) == sorted(r[2] for r in rows)
+    counts = row_groups.template_counts(stream, "line", "ts")
+    q = counts.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("counts").agg(F.sum("n_rows")).first()[0] == 300 and spark.table("counts").count() == 10
+    assert row_groups.parsed_stream(stream, "line").isStreaming
