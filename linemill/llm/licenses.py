@@ -92,7 +92,8 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: Templates) -> Iterator[p
                 n = hi - lo - 1  # bigrams, repeats included
                 need = min(templates.low, default=np.inf)
                 # At least half of (the least fitting size times dice) has to be known.
-                able = np.flatnonzero((n >= need) & (seen[np.maximum(hi - 1, lo)] - seen[lo] >= need * templates.least / 2))
+                begin = np.minimum(lo, len(seen) - 1)
+                able = np.flatnonzero((n >= need) & (seen[np.maximum(hi - 1, begin)] - seen[begin] >= need * templates.least / 2))
                 owner = np.searchsorted(at, limits[able, 0], side="right") - 1 if kind < 2 else able
                 for i, doc in zip(able, owner, strict=True):
                     found = np.unique(pair[lo[i] : hi[i] - 1])
