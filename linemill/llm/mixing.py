@@ -38,6 +38,8 @@ DOMAINS = ("prose", "toxic", "low")
 #: Shares of the mixture's tokens, and the mixture's size as a share of all tokens.
 TARGETS, BUDGET = {"prose": 0.95, "toxic": 0.01, "low": 0.04}, 0.8
 SAMPLE, WORDS, STEPS, TOLERANCE = 4_000, 256, 40, 1e-4
+#: Chi-square below which a word counts as noise (with two degrees of freedom one word in 300,000 reaches it by chance).
+SURE = 25.0
 
 
 @dataclass
@@ -84,7 +86,7 @@ def telling_words(texts: DataFrame, sizes: np.ndarray, most: int = WORDS) -> np.
     for d, n in enumerate(sizes):
         expected, rest = F.col("often") * float(n) / total + 1e-9, (total - F.col("often")) * float(n) / total + 1e-9
         chi = chi + (F.col(f"d{d}") - expected) ** 2 / expected + (float(n) - F.col(f"d{d}") - rest) ** 2 / rest
-    best = seen.select("word", chi.alias("chi")).orderBy(F.desc("chi"), "word").limit(most).collect()
+    best = seen.select("word", chi.alias("chi")).where(F.col("chi") >= SURE).orderBy(F.desc("chi"), "word").limit(most).collect()
     return np.sort(np.array([r["word"] for r in best], np.int64).view(U))
 
 

@@ -1,0 +1,42 @@
+import hashlib
+import random
+import re
+
+from linemill.llm import decontaminate
+from tests.llm import cases
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(cases.LOWER))
+
+
+def expected(text, items):
+    w, hit, found = words(text), set(), set()
+    for item, t in items:
+        iw = words(t)
+        n = min(10, len(iw))
+        for i in range(len(iw) - n + 1) if n else ():
+            for j in range(len(w) - n + 1):
+                if w[j : j + n] == iw[i : i + n]:
+                    hit |= set(range(j, j + n))
+                    found.add(str(item))
+    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
+
+
+def test_like_the_definition(spark):
+    rng = random.Random(3)
+    rows = cases.rows()
+    long = [r[1] for r in rows if r[1] and 40 < len(words(r[1])) < 300]
+    items = [(i, " ".join(words(rng.choice(long))[3 : 3 + n]).upper() if i % 2 else ", ".join(words(rng.choice(long))[:n])) for i, n in enumerate((1, 3, 9, 10, 11, 25, 25, 40))]
+    items += [(9, items[5][1]), (5, items[5][1]), (100, None), (101, "..."), (102, "not in any document at all")]
+    bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, n string")
+    got = sorted((r.doc_id is None, r.doc_id or 0, tuple(r)[1:]) for r in decontaminate.contamination_report(cases.frame(spark), bench).collect())
+    assert got == sorted((r[0] is None, r[0] or 0, expected(r[1], items)) for r in rows)
+    kept = decontaminate.drop_contaminated(cases.frame(spark), bench)
+    assert kept.count() == sum(not expected(r[1], items)[4] for r in rows) and kept.columns == cases.frame(spark).columns
+
+
+def test_empty_tables(spark):
+    docs, bench = cases.frame(spark), spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
+    assert decontaminate.contamination_report(cases.empty(spark), bench).count() == 0
+    assert decontaminate.contamination_report(docs, bench.limit(0)).where("contaminated").count() == 0
