@@ -9,8 +9,8 @@ A document's set: its distinct 5-word shingles as 64-bit hashes. Two sets link i
    nothing and leaves.
 3. Two linked sets share a shingle among the first |x| - ceil(0.8 |x|) + 1 of each. Those shingles are the first
    branches of the prefix tree; ``posting`` lists the classes on each branch.
-4. On each branch a pivot is compared with the classes that are not yet in its component; for a pivot the partners'
-   ordered sets form a trie that is walked once: what partners share in front is counted once, and a subtree ends
+4. On each branch pivots are compared with the classes that are not yet in their component, if what is left of both
+   sets from the branch on can make up the overlap they need; for a pivot the partners' ordered sets form a trie that is walked once: what partners share in front is counted once, and a subtree ends
    as soon as no set in it can still reach the overlap it needs. Links merge components. Then the next pivot: pairs
    that are in one component already, or were compared, don't come again. A branch of n copies thus costs n
    comparisons, not n^2, and no link between different components is missed: the rounds end when every branch's
@@ -37,7 +37,7 @@ from linemill.llm._tokens import NOT_SPACE, U, Words, flat, grams, mix, slices
 
 SHINGLE, PERCENT = 5, 80
 #: So many classes of a branch are compared with all of it in one round; the rest follow in further rounds.
-PIVOTS = 16
+PIVOTS = 64
 
 
 def shingle_sets(column: pa.ChunkedArray | pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -255,30 +255,36 @@ def jaccard_components(docs: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame
 
 
 def _links(sets: DataFrame) -> DataFrame:
-    """(node, comp) of the sets: the least rep that links reach."""
+    """(node, comp) of the sets: the least rep that links reach.
+
+    ``m``: of a class on a branch, its shingles from the branch's on; two classes of which the branch is the first that
+    they share overlap in no more than the lesser m, so only pairs of a fitting m are compared there.
+    """
     content = sets.select("rep", "n", "tokens")
-    posting = sets.select("rep", "n", F.explode("prefix").alias("token")).distinct()
-    shared = posting.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n")).alias("first")).where("c > 1")
+    posting = sets.select("rep", "n", "at", F.posexplode("prefix").alias("i", "token")).select("token", "rep", "n", (F.col("n") - F.col("at") - F.col("i")).alias("m"))
+    shared = posting.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n", "m")).alias("first")).where("c > 1")
     # First each class meets one partner only: the least class of most of its branches.
-    met_first = posting.join(shared, "token").where("rep != first.rep").where(_fits("n", "first.n"))
+    met_first = posting.join(shared, "token").where("rep != first.rep").where(_fits("n", "m", "first.n", "first.m"))
     best = met_first.groupBy(F.col("first.rep").alias("pivot"), F.col("rep").alias("other")).agg(F.count("*").alias("c")).groupBy("other").agg(F.max(F.struct("c", (-F.col("pivot")).alias("minus"))).alias("b"))
     posting = reliable(posting.join(shared.select("token"), "token", "left_semi"))
     asked = reliable(best.select((-F.col("b.minus")).alias("pivot"), "other"))
     links, done, met = _compared(asked, content), asked, None
     nodes = reliable(sets.select(F.col("rep").alias("node")).distinct())
     while True:
-        comp = reliable(components(nodes, links))
-        placed = posting.join(comp, posting["rep"] == comp["node"]).select("token", "rep", "n", "comp")
+        comp = components(nodes, links)
+        placed = posting.join(comp, posting["rep"] == comp["node"]).select("token", "rep", "n", "m", "comp")
         # A branch is open while it holds several components; its most frequent one needs no pivots of its own.
-        tally = placed.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", (-F.col("comp")).alias("minus"))).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-        opened = reliable(placed.join(tally.select("token", (-F.col("top.minus")).alias("main")), "token"))
+        tally = placed.groupBy("token", "comp").agg(F.count("*").alias("c"), F.min("n").alias("n"), F.max("m").alias("m")).groupBy("token")
+        tally = tally.agg(F.max(F.struct("c", (-F.col("comp")).alias("minus"))).alias("top"), F.count("*").alias("comps"), F.min("n").alias("least_n"), F.max("m").alias("most_m")).where("comps > 1")
+        opened = placed.join(tally.select("token", (-F.col("top.minus")).alias("main"), "least_n", "most_m"), "token").where(_fits("n", "m", "least_n", "most_m", False))
+        opened = reliable(opened)
         minor = opened.where("comp != main")
         minor = minor.join(met, ["token", "rep"], "left_anti") if met is not None else minor
         place = F.row_number().over(Window.partitionBy("token").orderBy("rep"))
-        turn = reliable(minor.withColumn("place", place).where(F.col("place") <= PIVOTS).select("token", F.col("rep").alias("pivot"), F.col("n").alias("p_n"), F.col("comp").alias("p_comp")))
+        turn = reliable(minor.withColumn("place", place).where(F.col("place") <= PIVOTS).select("token", F.col("rep").alias("pivot"), F.col("n").alias("p_n"), F.col("m").alias("p_m"), F.col("comp").alias("p_comp")))
         if turn.isEmpty():
             return comp
-        pairs = opened.join(turn, "token").where("comp != p_comp").where(_fits("n", "p_n")).select(F.least("pivot", "rep").alias("pivot"), F.greatest("pivot", "rep").alias("other")).distinct()
+        pairs = opened.join(turn, "token").where("comp != p_comp").where(_fits("n", "m", "p_n", "p_m")).select(F.least("pivot", "rep").alias("pivot"), F.greatest("pivot", "rep").alias("other")).distinct()
         both = done.select(F.least("pivot", "other").alias("pivot"), F.greatest("pivot", "other").alias("other"))
         asked = reliable(pairs.join(both, ["pivot", "other"], "left_anti"))
         links = reliable(links.unionByName(_compared(asked, content)))
@@ -287,9 +293,10 @@ def _links(sets: DataFrame) -> DataFrame:
         met = reliable(turn.unionByName(met)) if met is not None else turn
 
 
-def _fits(n: str, m: str) -> str:
-    """Sets of very different sizes can't link."""
-    return f"100L * least({n}, {m}) >= {PERCENT}L * greatest({n}, {m})"
+def _fits(n: str, m: str, n2: str, m2: str, sizes: bool = True) -> str:
+    """Whether two sets can still overlap enough; with ``sizes``, also whether their sizes allow it at all."""
+    by_size = f" and 100L * least({n}, {n2}) >= {PERCENT}L * greatest({n}, {n2})" if sizes else ""
+    return f"{100 + PERCENT}L * least({m}, {m2}) >= {PERCENT}L * ({n} + {n2}){by_size}"
 
 
 def _compared(asked: DataFrame, content: DataFrame) -> DataFrame:
