@@ -1,5 +1,11 @@
 """DuckDB statements for the operators that SQL can express."""
 
+from linemill.llm.licenses import TEMPLATES
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, " + r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_TEMPLATES = ", ".join("({})".format(", ".join("'" + x.replace("'", "''") + "'" for x in pair)) for pair in TEMPLATES.items())
+
 ORACLES: dict[str, str] = {
     "op2_line_dedup": """
 WITH parts AS (
@@ -72,4 +78,71 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
 WHERE rank <= 20""",
+    "op6_licenses": rf"""
+WITH templates AS (
+  SELECT license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
+  FROM (SELECT license, {_WORDS.format('body')} AS w FROM (VALUES {_TEMPLATES}) v(license, body))
+), stretches AS (
+  SELECT doc_id, 'line' AS kind, 0 AS k, unnest(string_split(text, chr(10))) AS x FROM documents
+  UNION ALL SELECT doc_id, 'paragraph', 1, trim(p, chr(10)) FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\n\n+')) AS p FROM documents) WHERE contains(trim(p, chr(10)), chr(10))
+  UNION ALL SELECT doc_id, 'text', 2, text FROM documents
+), sized AS (
+  SELECT doc_id, kind, k, {_WORDS.format('x')} AS w FROM stretches WHERE x <> ''
+), sets AS (
+  SELECT doc_id, kind, k, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS a FROM sized WHERE len(w) > 1
+), scored AS (
+  SELECT doc_id, kind, k, license, 2 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice
+  FROM sets JOIN templates ON len(a) BETWEEN 0.8 / 1.2 * len(b) AND 1.2 / 0.8 * len(b)
+), best AS (
+  SELECT doc_id, license, max(dice) AS dice, arg_min(kind, (-dice, k)) AS kind FROM scored WHERE dice >= 0.8 GROUP BY ALL
+), found AS (
+  SELECT doc_id, count(*) AS n_licenses, string_agg(license, ',' ORDER BY license) AS licenses, first(license ORDER BY dice DESC, license) AS license,
+    first(dice ORDER BY dice DESC, license) AS dice, first(kind ORDER BY dice DESC, license) AS kind FROM best GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_licenses, 0) AS n_licenses, license, round(dice, 6) AS dice, kind, coalesce(licenses, '') AS licenses
+FROM documents d LEFT JOIN found USING (doc_id)""",
+    "op9_suffix_dedup": r"""
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents
+), blocks AS (
+  -- 50 windows start in each block of 50 bytes and end in the next.
+  SELECT doc_id, n, 50 * k AS pos, substr(h, 100 * k + 1, 200) AS part
+  FROM (SELECT doc_id, hex(x) AS h, octet_length(x) AS n, unnest(range(0, octet_length(x) // 50 + 1)) AS k FROM d WHERE octet_length(x) >= 50)
+), windows AS (
+  SELECT doc_id, pos + j AS i, substr(part, 2 * j + 1, 100) AS s
+  FROM (SELECT *, unnest(range(0, 50)) AS j FROM blocks) WHERE pos + j + 50 <= n
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first_doc FROM windows) WHERE first_doc < doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM later
+), bytes AS (
+  SELECT b.doc_id, b.p, b.byte, g.p IS NOT NULL AS is_gone
+  FROM (SELECT doc_id, unnest(range(0, octet_length(x))) AS p, unnest(regexp_extract_all(hex(x), '..')) AS byte FROM d) b
+  LEFT JOIN gone g ON b.doc_id = g.doc_id AND b.p = g.p
+), marked AS (
+  SELECT *, is_gone AND NOT coalesce(lag(is_gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS begins FROM bytes
+), summed AS (
+  SELECT doc_id, count(*) FILTER (is_gone) AS n_removed, count(*) FILTER (begins) AS n_spans,
+    string_agg(byte, '' ORDER BY p) FILTER (NOT is_gone) AS kept
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(octet_length(x) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN summed USING (doc_id)""",
+    "op10_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * o >= 80 * (p.n + q.n - o)
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)""",
 }
