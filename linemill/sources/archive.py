@@ -57,7 +57,11 @@ class _Reader(DataSourceReader):
         for i, line in enumerate(lines):
             if not self.low <= part.first_row + i <= self.high:
                 continue
-            yield part.block_no, part.first_row + i, line.decode("utf-8", "surrogateescape").encode("utf-8", "replace").decode()
+            try:
+                text = line.decode()
+            except UnicodeDecodeError:
+                text = line.decode("latin-1")
+            yield part.block_no, part.first_row + i, text
 
 
 class ArchiveReader(_Reader):

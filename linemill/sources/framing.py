@@ -138,9 +138,6 @@ def _solid(p: Parsed) -> bytes:
     return struct.pack("<II", len(registry), n) + registry + ids + values
 
 
-_COLUMN = re.compile(rb"((?:[^\x01\x02]|\x01.)*)\x02", re.S)
-
-
 def _columns(data: bytes) -> list[list[bytes]]:
     """The values of each column; escapes decide which end bytes count."""
     raw = np.frombuffer(data, np.uint8)
