@@ -68,7 +68,8 @@ def top_k(df: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str =
         levels.append(-(-levels[-1] // BINS))
     q_blocks = -(-int(shape["m"]) // query_block)
     c_blocks = max(1, -(-int(shape["n"]) // candidate_block))
-    lanes = max(1, min(c_blocks, spark.sparkContext.defaultParallelism * 4 // q_blocks or 1))
+    # Enough lanes for all cores, and never more than 64 blocks of candidates in one, however many there are.
+    lanes = max(1, min(c_blocks, spark.sparkContext.defaultParallelism * 4 // q_blocks or 1), -(-c_blocks // 64))
 
     dealt = vectors.withColumn("h", F.xxhash64("vec_id"))
     queries = dealt.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("q").alias("q"))
