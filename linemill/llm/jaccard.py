@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linemill.llm._common import reliable
+from linemill.llm._common import release, reliable
 from linemill.llm._repeats import BUCKET, CHUNK, REPLIES, RUNS, _replies, _runs_of, answers, run_rows, spread, unpack
 from linemill.llm._tokens import NOT_SPACE, U, Words, flat, grams, mix, slices
 
@@ -208,15 +208,14 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, comp): the least node that links reach, by alternating large-star and small-star rounds.
+def _stars(links: DataFrame) -> DataFrame:
+    """(a, comp): the least node that links (a, b) reach from a, of all that reach a lesser one.
 
-    links: (a, b). Each round is two shuffles of the links; their number falls to one a node, the rounds grow with the
-    logarithm of a component's size. Nodes without links stay themselves.
+    Alternating large-star and small-star rounds, until every node hangs on one root. Each round is a few shuffles of the
+    links; their number falls to one a node, and the rounds grow with the logarithm of a component's size.
     """
     edges = reliable(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-    last = None
-    while True:
+    while not edges.isEmpty():
         # Large star: every neighbour above u joins the least of u's neighbourhood.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -225,14 +224,29 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         m = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(m, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(m.select("a", F.col("m").alias("b"))).where("a != b").distinct()
         edges = reliable(small)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-        if now == last:
+        release(edges.sparkSession)
+        # Stars: no root hangs on another, no node on two.
+        several = edges.groupBy("a").count().where("count > 1").select("a").limit(1)
+        if edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a").limit(1).unionByName(several).isEmpty():
             break
-        last = now
-    found = edges.groupBy("a").agg(F.min("b").alias("comp"))
+    return edges.select("a", F.col("b").alias("comp"))
+
+
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, comp): the least node that links (a, b) reach; nodes without links stay themselves."""
+    found = _stars(links)
     return nodes.join(found, nodes["node"] == found["a"], "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
 
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, comp) after further links: only the components that these touch are joined anew."""
+    named = comp.select(F.col("node").alias("x"), F.col("comp").alias("c"))
+    one = links.join(named, F.col("a") == F.col("x")).select(F.col("c").alias("ca"), "b")
+    both = one.join(named, F.col("b") == F.col("x")).select(F.col("ca").alias("a"), F.col("c").alias("b"))
+    found = _stars(both).select("a", F.col("comp").alias("least"))
+    return reliable(comp.join(found, comp["comp"] == found["a"], "left").select("node", F.coalesce("least", "comp").alias("comp")))
+
+
 def jaccard_components(docs: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id, _lm_key) of each row of (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_lm_key"), F.col("text").cast("string").alias("text"))
@@ -268,10 +282,9 @@ def _links(sets: DataFrame) -> DataFrame:
     best = met_first.groupBy(F.col("first.rep").alias("pivot"), F.col("rep").alias("other")).agg(F.count("*").alias("c")).groupBy("other").agg(F.max(F.struct("c", (-F.col("pivot")).alias("minus"))).alias("b"))
     posting = reliable(posting.join(shared.select("token"), "token", "left_semi"))
     asked = reliable(best.select((-F.col("b.minus")).alias("pivot"), "other"))
-    links, done, met = _compared(asked, content), asked, None
-    nodes = reliable(sets.select(F.col("rep").alias("node")).distinct())
+    done, met = asked, None
+    comp = reliable(components(sets.select(F.col("rep").alias("node")).distinct(), _compared(asked, content)))
     while True:
-        comp = components(nodes, links)
         placed = posting.join(comp, posting["rep"] == comp["node"]).select("token", "rep", "n", "m", "comp")
         # A branch is open while it holds several components; its most frequent one needs no pivots of its own.
         tally = placed.groupBy("token", "comp").agg(F.count("*").alias("c"), F.min("n").alias("n"), F.max("m").alias("m")).groupBy("token")
@@ -287,10 +300,12 @@ def _links(sets: DataFrame) -> DataFrame:
         pairs = opened.join(turn, "token").where("comp != p_comp").where(_fits("n", "m", "p_n", "p_m")).select(F.least("pivot", "rep").alias("pivot"), F.greatest("pivot", "rep").alias("other")).distinct()
         both = done.select(F.least("pivot", "other").alias("pivot"), F.greatest("pivot", "other").alias("other"))
         asked = reliable(pairs.join(both, ["pivot", "other"], "left_anti"))
-        links = reliable(links.unionByName(_compared(asked, content)))
+        if not asked.isEmpty():
+            comp = _merged(comp, _compared(asked, content))
         done = reliable(done.unionByName(asked))
         turn = turn.select("token", F.col("pivot").alias("rep"))
         met = reliable(turn.unionByName(met)) if met is not None else turn
+        release(comp.sparkSession)
 
 
 def _fits(n: str, m: str, n2: str, m2: str, sizes: bool = True) -> str:
