@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linemill.llm._tokens import NOT_NEWLINE, NOT_SPACE, U, Words, byte_class, flat, mix
+from linemill.llm._tokens import BLOCK, NOT_NEWLINE, NOT_SPACE, U, Words, byte_class, flat, mix
 
 _CLASSES = {
     "upper": byte_class((65, 90)), "lower": byte_class((97, 122)), "digit": byte_class((48, 57)), "space": byte_class((32, 32)), "newline": byte_class((10, 10)),
@@ -19,8 +19,23 @@ SHARES = (*_CLASSES, "same as last word", "same as word before last", "repeated
 NAMES = (*SHARES, *(f"root of {x}" for x in SHARES), "length", "line length")
 
 
-def dense(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """One row of NAMES for each text: shares of bytes and words, their roots, and logarithms of lengths. Empty: zeros."""
+_MEMBERS = np.stack(list(_CLASSES.values()), axis=1).astype(np.float64)
+
+
+def _histograms(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How often each byte value occurs in each text."""
+    out = np.zeros((len(at) - 1, 256))
+    for i, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        for k in range(lo, hi, BLOCK):
+            out[i] += np.bincount(data[k : min(hi, k + BLOCK)], minlength=256)
+    return out
+
+
+def dense(column: pa.ChunkedArray | pa.Array, words: Words | None = None) -> np.ndarray:
+    """One row of NAMES for each text: shares of bytes and words, their roots, and logarithms of lengths. Empty: zeros.
+
+    ``words``: the texts' words by NOT_SPACE, if they are at hand.
+    """
     data, at = flat(column)
     n = np.maximum(1, np.diff(at))
 
@@ -28,8 +43,8 @@ def dense(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
         sums = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
         return sums[begin[1:]] - sums[begin[:-1]]
 
-    shares = [per_text(member[data], at) / n for member in _CLASSES.values()]
-    words, lines = Words(data, at, NOT_SPACE), Words(data, at, NOT_NEWLINE)
+    shares = list((_histograms(data, at) @ _MEMBERS / n[:, None]).T)
+    words, lines = words or Words(data, at, NOT_SPACE), Words(data, at, NOT_NEWLINE)
     count = np.maximum(1, np.diff(words.of_text))
     text = words.text_of()
     for back in (1, 2):

@@ -49,8 +49,8 @@ class Posterior:
     weights: np.ndarray
     shift: np.ndarray
 
-    def __call__(self, column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-        z = self.scale(np.concatenate((dense(column), presence(column, self.vocabulary)), axis=1).astype(np.float64)) @ self.weights + self.shift
+    def __call__(self, column: pa.ChunkedArray | pa.Array, words: Words | None = None) -> np.ndarray:
+        z = self.scale(np.concatenate((dense(column, words), presence(column, self.vocabulary)), axis=1).astype(np.float64)) @ self.weights + self.shift
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
@@ -146,8 +146,8 @@ def memberships(docs: DataFrame, model: Posterior) -> DataFrame:
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                tokens = np.diff(Words(*flat(part["text"]), NOT_SPACE).of_text)
-                p = shared.value(part["text"])
+                words = Words(*flat(part["text"]), NOT_SPACE)
+                tokens, p = np.diff(words.of_text), shared.value(part["text"], words)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), p.shape[1]).cast(pa.list_(pa.float64()))
                 yield pa.record_batch([*part.columns, pa.array(tokens, pa.int64()), lists], names=[*part.schema.names, "_lm_tokens", "_lm_p"])
 
