@@ -24,6 +24,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -184,6 +185,12 @@ def state_of(replies: pa.Table) -> dict:
     return next((pickle.loads(r["state"]) for r in replies.to_pylist() if r["state"]), {})
 
 
+class Keys(Protocol):
+    """Keys of windows by index: an array, or what makes them when asked."""
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray: ...
+
+
 @dataclass
 class Anchors:
     """Arrays over a stretch of text. ``gram``, ``stretch``: keys; ``lo``, ``hi``: first window and one behind the
@@ -195,12 +202,12 @@ class Anchors:
     lo: np.ndarray
     hi: np.ndarray
     rank: np.ndarray
-    window: np.ndarray
+    window: Keys
     begin: np.ndarray
     end: np.ndarray
 
 
-def stretches(window: np.ndarray, lo: np.ndarray, hi: np.ndarray, offset: np.ndarray) -> np.ndarray:
+def stretches(window: Keys, lo: np.ndarray, hi: np.ndarray, offset: np.ndarray) -> np.ndarray:
     """Key of consecutive windows that overlap: the first, the last, how many, and where among them the anchor is."""
     return mix(window[lo] + window[hi - 1] * U(0xA24BAED4963EE407) + (hi - lo).astype(U) * U(0x9FB21C651E98DF25) + offset.astype(U) * U(0xD6E8FEB86659FD93))
 

@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from linemill.llm._common import text_or_empty
 from linemill.llm._repeats import Anchors, find_repeats, id_ranks, marked, stretches
-from linemill.llm._tokens import BLOCK, BYTE_VALUES, U, flat, mix, window_minimum
+from linemill.llm._tokens import BYTE_VALUES, U, flat, mix, window_minimum
 
 LENGTH, GRAM = 50, 24
+#: Window starts that are hashed at once.
+SPAN = 1 << 17
 _A = 0x9E3779B97F4A7C15 | 1
 
 
@@ -32,32 +34,45 @@ def _up(n: int) -> np.uint64:
     return U(pow(_A, n, 1 << 64))
 
 
+class _Windows:
+    """Keys of windows by their index in a block, made when asked for."""
+
+    def __init__(self, h: dict[int, np.ndarray]):
+        self.h = h
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        return mix((self.h[32][i] * _up(16) + self.h[16][i + 32]) * _up(2) + self.h[2][i + 48])
+
+
 def byte_anchors(texts: pa.Table) -> Iterator[Anchors]:
-    """The anchors of a chunk's windows of LENGTH bytes, in blocks of BLOCK window starts."""
+    """The anchors of a chunk's windows of LENGTH bytes, in blocks of SPAN window starts."""
     data, at = flat(texts["text"])
     ranks = id_ranks(texts)
     fits = len(data) - LENGTH + 1
-    for lo in range(0, max(0, fits), BLOCK):
-        hi = min(lo + BLOCK, fits)
+    for lo in range(0, max(0, fits), SPAN):
+        hi = min(lo + SPAN, fits)
         h = {1: BYTE_VALUES[data[lo : hi + LENGTH - 1]]}
         for k in (2, 4, 8, 16, 32):  # hash(xy) = hash(x) A^|y| + hash(y)
             half = h[k // 2]
-            h[k] = half[: -(k // 2)] * _up(k // 2) + half[k // 2 :]
+            h[k] = half[: -(k // 2)] * _up(k // 2)
+            h[k] += half[k // 2 :]
         n = hi - lo
-        gram = mix(h[16][: n + LENGTH - GRAM] * _up(8) + h[8][16 : 16 + n + LENGTH - GRAM])
-        chosen = window_minimum(gram, LENGTH - GRAM + 1).astype(np.int64)
-        window = mix((h[32][:n] * _up(16) + h[16][32 : 32 + n]) * _up(2) + h[2][48 : 48 + n])
-        del h
+        gram = h[16][: n + LENGTH - GRAM] * _up(8)
+        gram += h[8][16 : 16 + n + LENGTH - GRAM]
+        chosen = window_minimum((gram >> U(32)).astype(np.uint32), LENGTH - GRAM + 1).astype(np.int64)
+        del h[1], h[4], h[8]
         start = np.arange(lo, hi)
-        text = np.searchsorted(at, start, side="right") - 1
-        inside = start + LENGTH <= at[text + 1]
+        first, last = np.searchsorted(at, lo, side="right") - 1, np.searchsorted(at, hi - 1, side="right") - 1
+        parts = np.diff(np.clip(at[first : last + 2], lo, hi))
+        text = np.repeat(np.arange(first, last + 1), parts)
+        inside = start + LENGTH <= np.repeat(at[first + 1 : last + 2], parts)
         # A run of windows with one anchor, in one document.
         change = np.flatnonzero(np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1]) | (inside[1:] != inside[:-1]))))
         until = np.append(change[1:], n)
         good = inside[change]
         change, until = change[good], until[good]
-        anchor = chosen[change]
-        yield Anchors(gram[anchor], stretches(window, change, until, anchor - change), change, until, ranks[text[change]], window, start, start + LENGTH)
+        anchor, window = chosen[change], _Windows(h)
+        yield Anchors(mix(gram[anchor]), stretches(window, change, until, anchor - change), change, until, ranks[text[change]], window, start, start + LENGTH)
 
 
 def _finish(texts: pa.Table, begin: np.ndarray, end: np.ndarray) -> pa.Table:
