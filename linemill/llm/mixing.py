@@ -2,11 +2,13 @@
 
 A classifier fitted on the labelled table gives each document posteriors over the domains. Documents then get
 nonnegative rates whose expected token totals by domain match the targets, as least squares solved by projected
-gradient steps: minimise |sum_i r_i t_i p_i - target|^2 over r >= 0, from r = 1.
+gradient steps: minimise |sum_i r_i t_i p_i - target|^2 over r >= 0, from r = 1, until each target is met within 1e-4 of
+all tokens and a hundredth of itself, or nothing comes nearer.
 
-The gradient reaches a document only through its own posteriors and a residual of one number a domain. A document's rate
-is thus a fold over the residuals so far, a list of steps x domains numbers: nothing is stored for a document between
-steps, and each step is one pass over (tokens, posteriors) that sums one number a domain, on whatever cluster.
+The gradient reaches a document only through its own posteriors and a step of one number a domain (the residual, or the
+residual scaled by the domains' curvature). A document's rate is thus a fold over the steps so far, a list of steps x
+domains numbers: nothing is stored for a document between steps, and each step is one pass or two over (tokens,
+posteriors) that sum a few numbers a domain, on whatever cluster.
 
 Domains: ``prose`` (quality 1, not toxic), ``toxic``, ``low`` (quality 0, not toxic), as the labelled table has them. The
 classifier is a multinomial logistic one over shares of byte and word classes and the presence of the words that tell
@@ -21,6 +23,7 @@ squares come as near as they can. Rows that repeat an id get rates of their own,
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +40,10 @@ from linemill.llm._tokens import ALNUM, NOT_SPACE, U, Words, flat, slices
 DOMAINS = ("prose", "toxic", "low")
 #: Shares of the mixture's tokens, and the mixture's size as a share of all tokens.
 TARGETS, BUDGET = {"prose": 0.95, "toxic": 0.01, "low": 0.04}, 0.8
-SAMPLE, WORDS, STEPS, TOLERANCE = 4_000, 256, 40, 1e-4
+SAMPLE, WORDS, TOLERANCE = 4_000, 256, 1e-4
+#: Plain steps that are still taken one by one; lengths at which a scaled step is tried; rounds after which a warning says
+#: that the fit has not ended.
+PLAIN, LENGTHS, PASSES = 100, (2.0, 1.0, 0.5, 0.25, 0.0625), 1_000
 #: Chi-square below which a word counts as noise (with two degrees of freedom one word in 300,000 reaches it by chance).
 SURE = 25.0
 
@@ -162,35 +168,74 @@ def rate_of(p: np.ndarray, residuals: np.ndarray) -> np.ndarray:
     return r
 
 
-def fit_rates(table: DataFrame, targets: dict[str, float], budget: float, steps: int = STEPS) -> tuple[np.ndarray, dict[str, float]]:
-    """table: (_lm_tokens, _lm_p). The residuals of each step, and each domain's expected share of the mixture.
+def _sums(table: DataFrame, so_far: np.ndarray, trials: np.ndarray, res: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """One pass: all tokens, each domain's tokens after each of the trial steps, and the curvature sum t p p^T over the
+    rows that can move from where they are, as ``res`` is the residual (rates above zero, or pushed up from zero)."""
+    n = len(DOMAINS)
+    names = ["total", *(f"d{i}" for i in range(n * len(trials))), *(f"c{i}" for i in range(n * n))]
 
-    In the metric of the token counts the least squares' curvature is at most 1, so steps of 1 descend.
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(len(names))
+        for b in batches:
+            t = b["_lm_tokens"].to_numpy().astype(np.float64)
+            p = b["_lm_p"].flatten().to_numpy(zero_copy_only=False).reshape(len(t), n)
+            r = rate_of(p, so_far)
+            free = np.where((r > 0) | (p @ res < 0), t, 0.0)
+            out += np.concatenate(([t.sum()], *((t * np.maximum(0.0, r - p @ step)) @ p for step in trials), ((p * free[:, None]).T @ p).ravel()))
+        yield pa.record_batch([pa.array([x]) for x in out], names=names)
+
+    found = np.array([list(r) for r in table.select("_lm_tokens", "_lm_p").mapInArrow(summed, ", ".join(f"{c} double" for c in names)).groupBy().sum().collect()], dtype=np.float64)[0]
+    total = 0.0 if np.isnan(found[0]) else found[0]
+    cut = 1 + n * len(trials)
+    return total, found[1:cut].reshape(len(trials), n) / max(1.0, total), found[cut:].reshape(n, n) / max(1.0, total)
+
+
+def _plain_steps(curvature: np.ndarray, res: np.ndarray, near: np.ndarray) -> float:
+    """How many more plain steps bring the residual down to ``near`` while the same rows move."""
+    values, vectors = np.linalg.eigh(curvature)
+    size = np.abs(vectors.T @ res)
+    with np.errstate(divide="ignore"):
+        return float(np.where(size <= near.min(), 0.0, np.log(near.min() / np.maximum(size, near.min())) / np.log1p(-np.clip(values, 1e-12, 1 - 1e-12))).max())
+
+
+def fit_rates(table: DataFrame, targets: dict[str, float], budget: float) -> tuple[np.ndarray, dict[str, float]]:
+    """table: (_lm_tokens, _lm_p). The steps taken, and each domain's expected share of the mixture.
+
+    In the metric of the token counts the least squares' curvature is at most 1, so steps of 1 (plain steps) descend, but
+    a domain of share s closes a fraction s of its gap in each. Where that would take more than ``PLAIN`` steps, steps are
+    scaled by the inverse of the curvature over the rows that can move. A scaled step can be too long, as rates stop at
+    zero: one pass weighs it at several lengths and beside the plain step, and the best is taken, so that the squares
+    always fall. It ends where all targets are met, or where no step makes the squares less.
     """
-    goal = np.array([targets.get(d, 0.0) for d in DOMAINS])
-    residuals, share = np.zeros((0, len(DOMAINS))), np.zeros(len(DOMAINS))
-    schema = ", ".join(["total double", *(f"d{i} double" for i in range(len(DOMAINS)))])
-    for _ in range(steps):
-
-        def summed(batches: Iterator[pa.RecordBatch], so_far: np.ndarray = residuals) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(1 + len(DOMAINS))
-            for b in batches:
-                t = b["_lm_tokens"].to_numpy().astype(np.float64)
-                p = b["_lm_p"].flatten().to_numpy(zero_copy_only=False).reshape(len(t), len(DOMAINS))
-                out += np.concatenate(([t.sum()], (t * rate_of(p, so_far)) @ p))
-            yield pa.record_batch([pa.array([x]) for x in out], names=["total", *(f"d{i}" for i in range(len(DOMAINS)))])
-
-        parts = np.array([list(r) for r in table.select("_lm_tokens", "_lm_p").mapInArrow(summed, schema).groupBy().sum().collect()], dtype=np.float64)[0]
-        if not parts[0] or np.isnan(parts[0]):
-            return residuals, dict.fromkeys(DOMAINS, 0.0)
-        share = parts[1:] / parts[0]
-        res = share - goal * budget
-        if np.abs(res).max() < TOLERANCE:
+    goal = np.array([targets.get(d, 0.0) for d in DOMAINS]) * budget
+    near = np.where(goal > 0, np.minimum(TOLERANCE, goal / 100), TOLERANCE)
+    steps, none = np.zeros((0, len(DOMAINS))), np.zeros((1, len(DOMAINS)))
+    total, (share,), curvature = _sums(table, steps, none, none[0])
+    if not total:
+        return steps, dict.fromkeys(DOMAINS, 0.0)
+    res, plain = share - goal, True
+    for _ in range(PASSES):
+        if (np.abs(res) < near).all():
             break
-        if len(residuals) > 3 and np.abs(residuals[-1] - res).max() < TOLERANCE / 100:
+        plain = plain and len(steps) + _plain_steps(curvature, res, near) <= PLAIN
+        if plain:
+            steps = np.concatenate((steps, res[None, :]))
+            _, (share,), curvature = _sums(table, steps, none, none[0])
+            res = share - goal
+            continue
+        _, _, curvature = _sums(table, steps, none[:0], res)
+        scaled = np.linalg.pinv(curvature, rcond=1e-10, hermitian=True) @ res
+        trials = np.stack([res, *(scaled * length for length in LENGTHS)])
+        _, shares, _ = _sums(table, steps, trials, res)
+        squares = ((shares - goal) ** 2).sum(axis=1)
+        best = int(np.argmin(squares))
+        if squares[best] >= (res**2).sum() * (1 - 1e-6):
             break  # as near as it gets
-        residuals = np.concatenate((residuals, res[None, :]))
-    return residuals, dict(zip(DOMAINS, map(float, share), strict=True))
+        steps, share = np.concatenate((steps, trials[best][None, :])), shares[best]
+        res = share - goal
+    else:
+        warnings.warn(f"mixing: targets not met after {PASSES} passes, residuals {res.tolist()}", stacklevel=2)
+    return steps, dict(zip(DOMAINS, map(float, share), strict=True))
 
 
 def _with_rates(members: DataFrame, residuals: np.ndarray) -> DataFrame:

@@ -71,3 +71,22 @@ def test_mixing_awkward_tables(spark):
         assert mixing.mixture_report(cases.frame(spark), lab).count() == len(cases.rows())
     assert mixing.mixture_report(cases.empty(spark), labels).count() == 0
     assert {"doc_id", "text", "rate", "copies", "chunk"} <= set(mixing.mix(cases.frame(spark), labels).columns)
+
+
+def test_production_targets_of_rare_domains(spark):
+    rng = np.random.default_rng(3)
+    for shares, soft in (((0.98, 0.01, 0.01), 0.0), ((0.94, 0.05, 0.01), 0.1), ((0.997, 0.002, 0.001), 0.0), ((0.94, 0.05, 0.01), 0.0)):
+        t, kind = rng.integers(50, 500, 4_000), rng.choice(3, 4_000, p=shares)
+        p = (1 - soft) * np.eye(3)[kind] + soft * rng.dirichlet((8, 1, 1), 4_000) * (kind == 0)[:, None] + soft * np.eye(3)[kind] * (kind > 0)[:, None]
+        df = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p, strict=True)], "_lm_tokens long, _lm_p array<double>").coalesce(1)
+        steps, share = mixing.fit_rates(df, mixing.TARGETS, mixing.BUDGET)
+        held = (t * mixing.rate_of(p, steps)) @ p / t.sum()
+        for i, d in enumerate(mixing.DOMAINS):
+            goal = mixing.BUDGET * mixing.TARGETS[d]
+            assert abs(held[i] / goal - 1) < 0.02 and abs(share[d] - held[i]) < 1e-9, (shares, d, held[i], len(steps))
+
+
+def test_targets_that_no_document_can_meet(spark):
+    df = spark.createDataFrame([(100, [1.0, 0.0, 0.0]), (1, [0.0, 0.0, 1.0])], "_lm_tokens long, _lm_p array<double>")
+    _, share = mixing.fit_rates(df, mixing.TARGETS, mixing.BUDGET)
+    assert abs(share["prose"] - 0.76) < 1e-3 and share["toxic"] == 0 and abs(share["low"] / 0.032 - 1) < 0.02
