@@ -56,8 +56,9 @@ class Templates:
         for t in texts.values():
             data = np.frombuffer(t.encode(), np.uint8)
             self.sets.append(np.unique(grams(Words(data, np.array([0, len(data)]), ALNUM).hash, 2)))
-        self.low = np.array([least / (2 - least) * len(s) for s in self.sets])
-        self.high = np.array([(2 - least) / least * len(s) for s in self.sets])
+        # A little outward, as a bound that is rounded inward loses stretches right at it; dice itself decides.
+        self.low = np.array([least / (2 - least) * len(s) - 1e-6 for s in self.sets])
+        self.high = np.array([(2 - least) / least * len(s) + 1e-6 for s in self.sets])
         self.known = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, U)
         self.member = np.stack([np.isin(self.known, s) for s in self.sets]) if self.sets else np.zeros((0, 0), bool)
 

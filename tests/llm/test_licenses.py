@@ -16,3 +16,14 @@ def test_no_templates_and_other_threshold(spark):
     df = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
     assert licenses.scan_licenses(df, {}).first().matches == []
     assert [m.license for m in licenses.scan_licenses(df, {"x": "a b c e"}, 0.6).first().matches] == ["x"]
+
+
+def test_stretches_right_at_the_size_bounds(spark):
+    texts = ["It is released under the MIT License.", "It here is Licensed under CC BY-SA 4.0.", "It here is Licensed under CC BY-NC 4.0."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: {m.license: (m.dice, m.kind) for m in r.matches} for r in licenses.scan_licenses(df).collect()}
+    assert [got[i][n] for i, n in enumerate(("MIT notice", "CC-BY-SA-4.0 notice", "CC-BY-NC-4.0 notice"))] == [(0.8, "line")] * 3
+    for k in (9, 15, 18):  # two thirds of the template's bigrams and nothing else
+        words = [f"w{i}" for i in range(k + 1)]
+        df = spark.createDataFrame([(1, " ".join(words[: 2 * k // 3 + 1]))], "doc_id long, text string")
+        assert [m.dice for m in licenses.scan_licenses(df, {"x": " ".join(words)}).first().matches] == [0.8]
