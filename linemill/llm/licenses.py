@@ -1,6 +1,8 @@
 """Licence scans: stretches of text compared with licence templates by Dice over word bigrams.
 
-Stretches are single lines, paragraphs (between blank lines) and whole texts; words are runs of letters, digits and
+Stretches are single lines, paragraphs (between blank lines) and whole texts; where none of a document's matches a
+template, all runs of words of any length are (a licence of several paragraphs in a longer text, or a notice that shares
+its line). Words are runs of letters, digits and
 bytes beyond ASCII, A-Z lower-cased. For bigram sets A and B of a stretch and a template
 
     dice = 2 |A & B| / (|A| + |B|)
@@ -11,7 +13,8 @@ smallest fitting set has bigrams is skipped unread. The templates are few and fi
 is no shuffle.
 
 Defined results: null and empty texts match nothing; a stretch of one word has no bigrams; of stretches of a
-document that match one template the best counts, of equal ones the first (lines, then paragraphs, then the whole);
+document that match one template the best counts, of equal ones the first (lines, then paragraphs, then the whole, then
+runs of words, kind ``passage``);
 repeated rows are judged row by row; extra columns are ignored; an empty table gives an empty table.
 """
 
@@ -44,7 +47,7 @@ TEMPLATES: dict[str, str] = {
     "MPL-2.0 header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "all rights reserved": "Copyright. All rights reserved.",
 }
-_KINDS = ("line", "paragraph", "text")
+_KINDS = ("line", "paragraph", "text", "passage")
 
 
 class Templates:
@@ -76,6 +79,36 @@ def _stretches(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarr
     yield 2, np.stack((at[:-1], at[1:]), axis=1)
 
 
+def _best_passage(gram: np.ndarray, inside: np.ndarray, size: int, templates: Templates, t: int) -> tuple[float, int]:
+    """(dice, bigrams) of the run of words that is most like template t; gram: a document's bigrams, inside: the template's.
+
+    Only runs that begin and end with a bigram of the template can be best, and none whose first bigram comes again, so
+    all runs together are at most as long as the text times the template, whatever repeats.
+    """
+    _, gram = np.unique(gram, return_inverse=True)
+    starts = np.flatnonzero(inside)
+    order = np.lexsort((starts, gram[starts]))
+    until = np.full(len(starts), len(gram))
+    again = gram[starts[order[1:]]] == gram[starts[order[:-1]]]
+    until[order[:-1][again]] = starts[order[1:][again]]
+    enough = np.searchsorted(starts, until) - np.arange(len(starts)) >= templates.low[t]
+    gram, inside, best = gram.tolist(), inside.tolist(), (0.0, 0)
+    for a, end in zip(starts[enough].tolist(), until[enough].tolist(), strict=True):
+        seen, both = set(), 0
+        for j in range(a, end):
+            if gram[j] in seen:
+                continue
+            seen.add(gram[j])
+            if len(seen) > templates.high[t]:
+                break
+            if inside[j]:
+                both += 1
+                best = max(best, (2 * both / (len(seen) + size), len(seen)), key=lambda x: x[0])
+                if both == size:
+                    break
+    return best
+
+
 def _scan(batches: Iterator[pa.RecordBatch], templates: Templates) -> Iterator[pa.RecordBatch]:
     schema = pa.struct([("license", pa.string()), ("dice", pa.float64()), ("kind", pa.string()), ("n_bigrams", pa.int64())])
     for batch in batches:
@@ -109,6 +142,19 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: Templates) -> Iterator[p
                         dice = 2 * both / (len(found) + len(templates.sets[t]))
                         if dice >= templates.least and dice > best.get((int(doc), int(t)), (0.0, 0, 0))[0]:
                             best[int(doc), int(t)] = (dice, kind, len(found))
+            # Documents with enough different bigrams of a template that no stretch matched.
+            at_known = np.flatnonzero(known)
+            at_known = at_known[at_known + 1 < words.of_text[words.text_of()[at_known] + 1]] if len(at_known) else at_known
+            different = np.unique(words.text_of()[at_known].astype(np.int64) * len(templates.known) + where[at_known])
+            for t, members in enumerate(templates.sets):
+                often = np.bincount((different // max(1, len(templates.known)))[templates.member[t, different % max(1, len(templates.known))]], minlength=part.num_rows)
+                for doc in np.flatnonzero(often >= max(1, templates.low[t])) if len(members) else ():
+                    if (int(doc), t) in best:
+                        continue
+                    lo, hi = words.of_text[doc], words.of_text[doc + 1] - 1
+                    dice, n_ = _best_passage(pair[lo:hi], known[lo:hi] & templates.member[t, where[lo:hi]], len(members), templates, t)
+                    if dice >= templates.least:
+                        best[int(doc), t] = (dice, 3, n_)
             matches: list[list[dict]] = [[] for _ in range(part.num_rows)]
             for (doc, t), (dice, kind, n_) in sorted(best.items(), key=lambda x: (x[0][0], -x[1][0], templates.names[x[0][1]])):
                 matches[doc].append({"license": templates.names[t], "dice": dice, "kind": _KINDS[kind], "n_bigrams": n_})
