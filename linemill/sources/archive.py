@@ -1,8 +1,8 @@
 """Archives as Spark data sources: ``linemill`` (blocks one after another) and ``linemill-indexed`` (row groups with an
 index at the end, read by row range).
 
-Register with ``register(spark)``. Reading yields (block_id, row_no, line); option ``rows`` ("low:high", from 0, inclusive)
-prunes row groups before they are opened. It is an option and not a pushed filter, as a relation that was read once with
+Register with ``register(spark)``. Reading yields (block_id, row_no, line); option ``rows`` ("low:high", from 0, inclusive,
+several parted by commas) prunes row groups before they are opened. It is an option and not a pushed filter, as a relation that was read once with
 a pushed filter keeps that filter when it is read again without. Writing takes rows of BLOCKS: see ``write_archive``.
 Paths go through pyarrow's file systems, so that
 whatever it can reach (local, S3, GCS, HDFS) works on every executor.
@@ -47,15 +47,18 @@ class BlockPart(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.codec = options["path"], options.get("codec", "xz")
-        low, _, high = options.get("rows", "").partition(":")
-        self.low, self.high = int(low or 0), int(high or LAST_ROW)
+        self.ranges = []
+        for asked in options.get("rows", "").split(","):
+            low, _, high = asked.partition(":")
+            self.ranges.append((int(low or 0), int(high or LAST_ROW)))
 
     def _wanted(self, first: int, rows: int) -> bool:
-        return rows > 0 and first + rows > self.low and first <= self.high
+        return rows > 0 and any(first + rows > low and first <= high for low, high in self.ranges)
 
     def _emit(self, part: BlockPart, lines: list[bytes]) -> Iterator[tuple]:
+        ranges = [(low, high) for low, high in self.ranges if part.first_row + len(lines) > low and part.first_row <= high]
         for i, line in enumerate(lines):
-            if not self.low <= part.first_row + i <= self.high:
+            if not any(low <= part.first_row + i <= high for low, high in ranges):
                 continue
             try:
                 text = line.decode()
@@ -113,7 +116,7 @@ class IndexedReader(_Reader):
             entries = read_index(at) if end else []
         out, first = [], 0
         for i, (offset, size, rows, kind) in enumerate(entries):
-            if kind == 1 and (self.low > 0 or self.high < LAST_ROW):
+            if kind == 1 and self.ranges != [(0, LAST_ROW)]:
                 raise Corrupt("a raw group has no rows to select")
             if kind == 1 or self._wanted(first, rows):
                 out.append(BlockPart(i, offset, size, first, kind))
@@ -245,8 +248,20 @@ def read_archive(spark: SparkSession, path: str, codec: str = "xz", indexed: boo
     return (reader.option("rows", f"{rows[0]}:{min(rows[1], LAST_ROW)}") if rows else reader).load()
 
 
+def block_starts(parsed_lines: DataFrame, rows: int) -> DataFrame:
+    """(block_id, first_row, first_group, num_rows): where each block stands in an indexed archive, blocks in order of
+    block_id. One row for each block."""
+    from pyspark.sql import Window
+
+    before = Window.orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1)
+    counted = parsed_lines.groupBy("block_id").agg((F.max("line_no") + 1).alias("num_rows"))
+    before_it = lambda x: F.coalesce(F.sum(x).over(before), F.lit(0)).cast("long")
+    return counted.select("block_id", before_it(F.col("num_rows")).alias("first_row"), before_it(F.ceil(F.col("num_rows") / rows)).alias("first_group"), "num_rows")
+
+
 def group_blocks(parsed_lines: DataFrame, rows: int, codec: str = "xz") -> DataFrame:
-    """BLOCKS of an indexed archive from parsed lines (line_no, skeleton, vars) of one file, in groups of rows."""
+    """BLOCKS of an indexed archive from parsed lines (block_id, line_no, skeleton, vars), in groups of rows of one block;
+    groups are numbered over the blocks as ``block_starts`` has them."""
     import pyarrow as pa
 
     from linemill.plans.engine import parsed_from
@@ -257,9 +272,23 @@ def group_blocks(parsed_lines: DataFrame, rows: int, codec: str = "xz") -> DataF
         data = group_bytes(parsed_from(table["skeleton"].to_pylist(), table["vars"].to_pylist(), False), codec_of(codec))
         return pa.table({"block_no": pa.array([table["group_no"][0].as_py()], pa.int64()), "num_rows": pa.array([table.num_rows], pa.int64()), "kind": pa.array([0], pa.int32()), "data": pa.array([data], pa.binary())})
 
-    return parsed_lines.select((F.col("line_no") / rows).cast("long").alias("group_no"), "line_no", "skeleton", "vars").groupBy("group_no").applyInArrow(pack, BLOCKS)
+    starts = F.broadcast(block_starts(parsed_lines, rows).select(F.col("block_id").alias("_block"), "first_group"))
+    numbered = parsed_lines.join(starts, F.col("block_id").eqNullSafe(F.col("_block")))
+    return numbered.select((F.col("first_group") + F.floor(F.col("line_no") / rows)).cast("long").alias("group_no"), "line_no", "skeleton", "vars").groupBy("group_no").applyInArrow(pack, BLOCKS)
 
 
 def write_indexed(parsed_lines: DataFrame, path: str, rows: int = 100_000, codec: str = "xz") -> None:
     register(parsed_lines.sparkSession)
     group_blocks(parsed_lines, rows, codec).write.format("linemill-indexed").option("path", path).mode("append").save()
+
+
+def read_rows_of_blocks(starts: DataFrame, path: str, codec: str, rows: tuple[int, int]) -> DataFrame:
+    """(block_id, row_no, line): the rows asked for of each block of an indexed archive, row_no counted within its block;
+    starts: ``block_starts`` of what was written. Opens no other groups."""
+    spark = starts.sparkSession
+    register(spark)
+    found = [(r.block_id, r.first_row, r.first_row + rows[0], r.first_row + min(rows[1], r.num_rows - 1)) for r in starts.collect() if rows[0] < r.num_rows]
+    asked = ",".join(f"{low}:{high}" for _, _, low, high in found) or f"{LAST_ROW}:{LAST_ROW}"
+    lines = spark.read.format("linemill-indexed").option("path", path).option("codec", codec).option("rows", asked).load()
+    of_block = F.broadcast(spark.createDataFrame(found, "block_id string, first_row long, low long, high long"))
+    return lines.drop("block_id").join(of_block, F.col("row_no").between(F.col("low"), F.col("high"))).select("block_id", (F.col("row_no") - F.col("first_row")).alias("row_no"), "line")
