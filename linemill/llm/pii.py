@@ -40,12 +40,29 @@ class Kind:
     always: bool = True
 
 
+#: Characters of account numbers by country, the country's code and check digits included.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """The length that a country prescribes, so that what follows in capitals or digits is left out; for other codes as
+    many characters as there are, up to where a listed country begins."""
+    listed = "|".join(c for codes in IBAN_LENGTHS.values() for c in codes.split())
+    known = "|".join(rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items())
+    other = rf"(?!{listed})[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20(?:{listed})[0-9]{{2}})\x20?[A-Z0-9]){{11,30}}"
+    return rf"(?<![A-Za-z0-9])(?:{known}|{other})(?![A-Za-z0-9])"
+
+
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", "e-?mail|contact|mailto|write", 0.7),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", "ip|host|server|address|addr", 0.6),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "card|visa|master|credit|debit|payment", 0.6),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", "phone|tel|call|mobile|fax|whatsapp", 0.6),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", "iban|bank|account|konto|compte|cuenta", 0.6, False),
+    Kind("iban", _iban_pattern(), r"[A-Z]{2}[0-9]{2}", "iban|bank|account|konto|compte|cuenta", 0.6, False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "ssn|social security|tax id", 0.4, False),
     Kind("secret", r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{24,64}(?![A-Za-z0-9_])", r"[A-Za-z0-9_]{24}", r"token|secret|passw|api.?key|private.?key|bearer", 0.4, False),
 )
@@ -62,7 +79,7 @@ def _mod97(iban: Column) -> Column:
     moved = F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4))
     code = lambda c: F.ascii(c)
     return F.aggregate(
-        F.split(moved, "(?!^)"),
+        F.filter(F.split(moved, "(?!^)"), lambda c: c != ""),  # the split's last piece is empty
         F.lit(0),
         lambda acc, c: F.when(code(c) >= 65, (acc * 100 + code(c) - 55) % 97).otherwise((acc * 10 + code(c) - 48) % 97),
     )
