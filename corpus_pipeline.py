@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents; the last adds tokens, posteriors, rate and copies.
+
+The rows that come out are not the mixture as they stand: documents of a small rate are rows still, most of them with no
+copies. Whoever reads them weights each by ``rate``, or repeats it ``copies`` times (0: leaves it out).
 """
 
 from __future__ import annotations
@@ -36,7 +39,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document gets the rate at which it enters the mixture; documents of rate zero go."""
+    """Each document gets the rate at which it enters the mixture (rows are to be weighted by it, or repeated by
+    copies); documents of rate zero go."""
     return mixing.mix(docs, table(spark, sf_dir, "labels"))
 
 
