@@ -216,8 +216,10 @@ def q20(spark, d):
 
 @_query("q21_escape", "SELECT doc_id, hex(encode(replace(replace(x, chr(1), chr(1) || chr(1)), chr(2), chr(1) || chr(3)))) AS stuffed, true AS same FROM (SELECT doc_id, chr(1) || chr(3) || left(text, 40) || chr(2) || chr(1) AS x FROM documents)")
 def q21(spark, d):
-    value = F.expr("concat(chr(1), chr(3), left(text, 40), chr(2), chr(1))")
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.hex(F.encode(t.escape(value), "UTF-8")).alias("stuffed"), (t.unescape(t.escape(value)) == value).alias("same"))
+    # The statement shows the first 40 characters stuffed; whole texts are stuffed and restored all the same.
+    shown = F.expr("concat(chr(1), chr(3), left(text, 40), chr(2), chr(1))")
+    whole = F.expr("concat(chr(1), chr(3), coalesce(text, ''), chr(2), chr(1))")
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.hex(F.encode(t.escape(shown), "UTF-8")).alias("stuffed"), (t.unescape(t.escape(whole)) == whole).alias("same"))
 
 
 @_query("q22_crc32")
