@@ -9,30 +9,38 @@ windows mostly share one. Three rounds settle, for each window, if it stands ear
 2. Of the anchors that do, which stretches stand earlier as a whole.
 3. Of what is left where stretches differ, which single windows stand earlier.
 
+Round 1 only proposes; what rounds 2 and 3 find is deleted, so their keys are 96 bits taken from the text itself and not
+from the rolling hashes of the search (``Keys``). Among 10^13 of them one clash is expected in a thousand corpora.
+
 Each round is one exchange. A chunk of documents (a range of ids) sends each key once, as a sorted run cut by key
 range, so a key met in a third of all documents costs one entry a chunk: no group of a key's occurrences ever
 forms. For each key range the runs of all chunks are taken in order of the ids and answered from a *logarithmic
 index family*: a new run is merge-scanned against each level, then becomes a level itself, and levels of equal size
 merge. The answer is a bit or two for each entry.
 
-The texts are shuffled once, by chunk; the rounds read that same exchange again (Spark's exchange reuse). Nothing
-is collected or broadcast but the limits of the ranges.
+The texts are shuffled once, by chunk; the rounds read that same exchange again (Spark's exchange reuse). Chunks hold
+about equal numbers of *bytes*, whatever the lengths of the texts at neighbouring ids; an id that holds more than a chunk
+gets chunks of its own, cut by how its texts begin. Only a single text, or texts of one id that begin with the same eight
+characters, stay together: a task takes a chunk, or the longest such. The driver sees the limits of the chunks, of which
+there are never more than about ``MOST_CHUNKS`` (beyond, chunks grow), and nothing is broadcast. The rows of a round are
+runs: chunks x buckets, with one bucket for each ``BUCKET_CHUNKS`` chunks and no more than ``MOST_BUCKETS``.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linemill.llm._tokens import U, mix
+from linemill.llm._common import reliable
+from linemill.llm._tokens import U, mix, trim
 
 CHUNK, BUCKET = "_lm_chunk", "_lm_bucket"
 RUNS = f"{BUCKET} int, {CHUNK} int, n long, a binary, b binary, c binary"
@@ -40,27 +48,78 @@ REPLIES = f"{CHUNK} int, {BUCKET} int, a binary, state binary"
 #: Bits of a gram key. Different grams may share one: that only asks the later rounds more.
 GRAM_BITS = 48
 LAST = (1 << 63) - 1
+#: At most so many limits of chunks come to the driver; a bucket for so many chunks; at most so many buckets.
+MOST_CHUNKS, BUCKET_CHUNKS, MOST_BUCKETS = 1 << 17, 4, 1 << 16
+
+
+def grown(total: int, chunk_bytes: int) -> tuple[int, int]:
+    """(bytes of a chunk, number of buckets) for so many bytes of text."""
+    chunk_bytes = max(chunk_bytes, total // MOST_CHUNKS)
+    return chunk_bytes, max(1, min(MOST_BUCKETS, -(-total // (BUCKET_CHUNKS * chunk_bytes))))
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Where chunks begin: (id, first characters of the text, in hex). ``group``: chunks of one id share a number."""
+
+    ids: list[int]
+    starts: list[str]
+    group: list[int]
+
+    def chunk(self, ids: Column, start: Column) -> Column:
+        """The number of limits at or below a row, less one, by binary search."""
+        if len(self.ids) < 2:
+            return F.lit(0)
+        listed = lambda items: F.split(F.lit(",".join(map(str, items))), ",")  # noqa: E731  folded into one constant
+        bounds, starts = listed(self.ids).cast("array<bigint>"), listed(self.starts)
+
+        def below(i: Column) -> Column:
+            found = F.get(bounds, i)
+            return (found < ids) | ((found == ids) & (F.get(starts, i) <= start)) if any(self.starts) else found <= ids
+
+        steps = [1 << i for i in range(len(self.ids).bit_length())][::-1]
+        take = lambda at, s: (at + s < len(self.ids)) & F.coalesce(below(at + s), F.lit(False))
+        return F.aggregate(F.lit(steps), F.lit(0), lambda at, s: F.when(take(at, s), at + s).otherwise(at))
+
+
+def _id(docs: DataFrame) -> Column:
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST))
+
 
+def _start(docs: DataFrame) -> Column:
+    return F.coalesce(F.hex(F.encode(F.left(docs["text"], F.lit(8)), "UTF-8")), F.lit(""))
 
-def chunk_of(ids: Column, limits: list[int]) -> Column:
-    """The number of limits at or below an id, by binary search; null ids go last."""
-    steps = [1 << i for i in range(max(1, len(limits)).bit_length())][::-1]
-    bounds = F.lit(limits) if limits else F.expr("cast(array() as array<bigint>)")
-    value = F.coalesce(ids.cast("long"), F.lit(LAST))
-    take = lambda at, s: (at + s <= len(limits)) & (F.get(bounds, at + s - 1) <= value)
-    return F.aggregate(F.lit(steps), F.lit(0), lambda at, s: F.when(F.coalesce(take(at, s), F.lit(False)), at + s).otherwise(at))
 
+def limits_of(docs: DataFrame, chunk_bytes: int) -> tuple[Limits, int]:
+    """Ranges of about ``chunk_bytes`` of text each, or more where they would be too many; the number of buckets."""
+    sized = docs.select(_id(docs).alias("id"), _start(docs).alias("start"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+    sized = reliable(sized.groupBy("id", "start").agg(F.sum("bytes").alias("bytes")))
+    total = int(sized.agg(F.sum("bytes").alias("n")).first()["n"] or 0)
+    chunk_bytes, buckets = grown(total, chunk_bytes)
 
-def in_chunks(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
-    """Documents dealt by ranges of doc_id that hold about ``chunk_bytes`` of text each; how many ranges."""
-    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = max(1, -(-int(total) // chunk_bytes))
-    limits: list[int] = []
-    if n > 1:
-        found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(1, n)], 100 * n).alias("q")).first()["q"] or []
-        limits = sorted(set(map(int, found)))
-    dealt = docs.withColumn(CHUNK, chunk_of(F.col("doc_id"), limits))
-    return dealt.repartition(len(limits) + 1, CHUNK), len(limits) + 1
+    def walk(batches):
+        size, last, large = None, None, False
+        for batch in batches:
+            out: list[tuple[int, str]] = []
+            for i, start, n, whole in zip(*(batch[c].to_pylist() for c in ("id", "start", "bytes", "whole")), strict=True):
+                if size is None or (i != last and (large or size + whole > chunk_bytes)) or (i == last and large and size + n > chunk_bytes):
+                    out.append((i, start if i == last else ""))
+                    size = 0
+                size, last, large = size + n, i, whole > chunk_bytes
+            yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string())], names=["id", "start"])
+
+    whole = sized.repartitionByRange("id").withColumn("whole", F.sum("bytes").over(Window.partitionBy("id")))
+    found = whole.sortWithinPartitions("id", "start").mapInArrow(walk, "id long, start string").toArrow().sort_by([("id", "ascending"), ("start", "ascending")])
+    ids, starts = found["id"].to_pylist(), found["start"].to_pylist()
+    group: list[int] = []
+    for i, x in enumerate(ids):
+        group.append(group[-1] if i and ids[i - 1] == x else i)
+    return Limits(ids, starts, group), buckets
+
+
+def in_chunks(docs: DataFrame, limits: Limits) -> DataFrame:
+    dealt = docs.withColumn(CHUNK, limits.chunk(_id(docs), _start(docs)).cast("int"))
+    return dealt.repartition(max(1, len(limits.ids)), CHUNK)
 
 
 def ordered(texts: pa.Table) -> pa.Table:
@@ -94,6 +153,41 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.concatenate((np.frombuffer(blob, U, 1, 1), np.frombuffer(blob, np.uint32, offset=9))).cumsum(dtype=U)
 
 
+@dataclass
+class Keys:
+    """96-bit keys: 64 bits that are sorted and cut into buckets, and 32 that tell apart what shares them."""
+
+    a: np.ndarray = field(default_factory=lambda: np.zeros(0, U))
+    b: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
+
+    def __len__(self) -> int:
+        return len(self.a)
+
+    def __getitem__(self, i: np.ndarray | slice) -> Keys:
+        return Keys(self.a[i], self.b[i])
+
+    def order(self) -> np.ndarray:
+        order = np.argsort(self.a, kind="stable")
+        a, b = self.a[order], self.b[order]
+        clash = (a[1:] == a[:-1]) & (b[1:] != b[:-1])
+        return np.lexsort((self.b, self.a)) if clash.any() else order
+
+    def firsts(self) -> np.ndarray:
+        """Which of sorted keys differ from the one before."""
+        return np.concatenate(([True], (self.a[1:] != self.a[:-1]) | (self.b[1:] != self.b[:-1]))) if len(self) else np.zeros(0, bool)
+
+    def distinct(self) -> tuple[Keys, np.ndarray, np.ndarray]:
+        """Sorted distinct keys, the order that sorts all, and where in that order each key begins."""
+        order = self.order()
+        found = self[order]
+        first = np.flatnonzero(found.firsts())
+        return found[first], order, first
+
+    @staticmethod
+    def joined(parts: list[Keys]) -> Keys:
+        return Keys(np.concatenate([p.a for p in parts]), np.concatenate([p.b for p in parts])) if parts else Keys()
+
+
 def run_rows(chunk: int, keys: np.ndarray, bits: int, buckets: int, b: np.ndarray | None = None, c: np.ndarray | None = None, state: bytes = b"") -> pa.Table:
     """A chunk's sorted distinct keys (with columns b and c) cut by bucket; the state goes along and comes back."""
     at = spread(keys, bits, buckets)
@@ -112,23 +206,24 @@ class Levels:
     """A logarithmic family of sorted key sets: runs are added in order, equal-sized levels merge."""
 
     def __init__(self) -> None:
-        self.levels: list[np.ndarray] = []
+        self.levels: list[Keys] = []
 
-    def holds(self, keys: np.ndarray) -> np.ndarray:
+    def holds(self, keys: Keys) -> np.ndarray:
         found = np.zeros(len(keys), bool)
         for level in self.levels:
-            at = np.searchsorted(level, keys)
-            at[at == len(level)] = 0
-            found |= level[at] == keys
+            at, end = (np.searchsorted(level.a, keys.a, side=s) for s in ("left", "right"))
+            for step in range(int((end - at).max(initial=0))):  # one, but for clashes
+                here = np.minimum(at + step, len(level) - 1)
+                found |= (at + step < end) & (level.b[here] == keys.b)
         return found
 
-    def add(self, keys: np.ndarray) -> None:
+    def add(self, keys: Keys) -> None:
+        if not len(keys):
+            return
         self.levels.append(keys)
         while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
             b, a = self.levels.pop(), self.levels.pop()
-            both = np.concatenate((a, b))
-            both.sort(kind="stable")  # merges the two runs
-            self.levels.append(both[np.concatenate(([True], both[1:] != both[:-1]))])
+            self.levels.append(Keys.joined([a, b]).distinct()[0])  # the stable sort merges the two runs
 
 
 def _replies(rows: list[tuple[int, int, bytes | None, bytes | None]]) -> pa.Table:
@@ -153,22 +248,28 @@ def resolve_shared(table: pa.Table) -> pa.Table:
     keys, s, f = keys[order], stretch[order], flags[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     count = np.diff(np.append(first, len(keys)))
-    shared = (count > 1) | (np.bitwise_or.reduceat(f, first) & 1).astype(bool)
-    mixed = (np.minimum.reduceat(s, first) != np.maximum.reduceat(s, first)) | (np.bitwise_or.reduceat(f, first) & 2).astype(bool)
+    flag = np.bitwise_or.reduceat(f, first)
+    shared = (count > 1) | (flag & 1).astype(bool)
+    mixed = (np.minimum.reduceat(s, first) != np.maximum.reduceat(s, first)) | (flag & 2).astype(bool)
     answer = np.empty(len(keys), np.uint8)
     answer[order] = np.repeat(shared.astype(np.uint8) | mixed.astype(np.uint8) << 1, count)
     at = np.cumsum([0] + [r["n"] for r in runs])
     return _replies([(r[CHUNK], bucket, answer[at[i] : at[i + 1]].tobytes(), None) for i, r in enumerate(runs)] + echo)
 
 
-def resolve_earlier(table: pa.Table) -> pa.Table:
-    """Rounds 2 and 3: for each entry, whether a chunk of smaller ids has the key."""
+def resolve_earlier(table: pa.Table, group: list[int] | None = None) -> pa.Table:
+    """Rounds 2 and 3: for each entry, whether an earlier chunk has the key; with ``group``, one of another group."""
     bucket, runs, out = _runs_of(table)
-    index = Levels()
+    index, waiting, current = Levels(), [], None
     for r in runs:
-        keys = unpack(r["a"])
+        keys = Keys(unpack(r["a"]), np.frombuffer(r["b"], np.uint32))
+        mine = group[r[CHUNK]] if group else r[CHUNK]
+        if mine != current:
+            for k in waiting:
+                index.add(k)
+            waiting, current = [], mine
         out.append((r[CHUNK], bucket, np.packbits(index.holds(keys)).tobytes(), None))
-        index.add(keys)
+        waiting.append(keys)
     return _replies(out)
 
 
@@ -185,45 +286,57 @@ def state_of(replies: pa.Table) -> dict:
     return next((pickle.loads(r["state"]) for r in replies.to_pylist() if r["state"]), {})
 
 
-class Keys(Protocol):
-    """Keys of windows by index: an array, or what makes them when asked."""
-
-    def __getitem__(self, i: np.ndarray) -> np.ndarray: ...
-
-
 @dataclass
 class Anchors:
-    """Arrays over a stretch of text. ``gram``, ``stretch``: keys; ``lo``, ``hi``: first window and one behind the
-    last, as indices into ``window``; ``rank``: order of the anchor (only a smaller one is earlier); ``begin`` and
-    ``end``: bytes that each window covers."""
+    """Arrays over a chunk. ``gram``: key of the anchor; ``short``: of the stretch, 32 bits; ``lo``, ``hi``: its first
+    window and one behind the last, as numbers of windows; ``at``: where among them the anchor is; ``rank``: order of the
+    anchor (only a smaller one is earlier)."""
 
     gram: np.ndarray
-    stretch: np.ndarray
+    short: np.ndarray
     lo: np.ndarray
     hi: np.ndarray
+    at: np.ndarray
     rank: np.ndarray
-    window: Keys
-    begin: np.ndarray
-    end: np.ndarray
 
+    @staticmethod
+    def joined(parts: list[Anchors]) -> Anchors:
+        kinds = (U, np.uint32, np.int64, np.int64, np.int32, np.int32)
+        return Anchors(*(np.concatenate([getattr(p, n).astype(k, copy=False) for p in parts]) if parts else np.zeros(0, k) for n, k in zip(Anchors.__dataclass_fields__, kinds, strict=True)))
 
-def stretches(window: Keys, lo: np.ndarray, hi: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    """Key of consecutive windows that overlap: the first, the last, how many, and where among them the anchor is."""
-    return mix(window[lo] + window[hi - 1] * U(0xA24BAED4963EE407) + (hi - lo).astype(U) * U(0x9FB21C651E98DF25) + offset.astype(U) * U(0xD6E8FEB86659FD93))
 
+class Texts(Protocol):
+    """A chunk's texts: their anchors, and the keys and limits of windows by number."""
 
-def _least_rank(keys: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, the index of each entry among them, and each key's least and greatest rank."""
-    order = np.argsort(keys, kind="stable")
-    sorted_ = keys[order]
-    new = np.concatenate(([True], sorted_[1:] != sorted_[:-1])) if len(keys) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    inverse = np.empty(len(keys), np.int64)
-    inverse[order] = np.cumsum(new) - 1
-    r = rank[order]
-    if not len(keys):
-        return sorted_, inverse, rank, rank
-    return sorted_[first], inverse, np.minimum.reduceat(r, first), np.maximum.reduceat(r, first)
+    def anchors(self) -> Anchors: ...
+
+    def keys(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent 64-bit hashes of what the windows read."""
+
+    def begin(self, window: np.ndarray) -> np.ndarray: ...
+
+    def end(self, window: np.ndarray) -> np.ndarray: ...
+
+
+def short_of(first: np.ndarray, last: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """32 bits for consecutive windows that overlap: the first, the last, how many, and where among them the anchor is."""
+    return (_stretch(first, last, n, at) >> U(32)).astype(np.uint32)
+
+
+def _stretch(first: np.ndarray, last: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return mix(first + last * U(0xA24BAED4963EE407) + n.astype(U) * U(0x9FB21C651E98DF25) + at.astype(U) * U(0xD6E8FEB86659FD93))
+
+
+def window_keys(texts: Texts, i: np.ndarray) -> Keys:
+    a, b = texts.keys(i)
+    return Keys(mix(a), (mix(b) >> U(32)).astype(np.uint32))
+
+
+def stretch_keys(texts: Texts, found: Anchors, i: np.ndarray) -> Keys:
+    """Keys of the stretches of anchors i."""
+    lo, hi, at = found.lo[i], found.hi[i], found.at[i]
+    first, last = texts.keys(lo), texts.keys(hi - 1)
+    return Keys(_stretch(first[0], last[0], hi - lo, at), (_stretch(first[1], last[1], hi - lo, at) >> U(32)).astype(np.uint32))
 
 
 def _expand(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -232,113 +345,113 @@ def _expand(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum())) if len(lo) else np.zeros(0, np.int64)
 
 
-Source = Callable[[pa.Table], Iterator[Anchors]]
+def _bits(found: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(found, np.uint8), count=n).astype(bool) if n else np.zeros(0, bool)
 
 
 class Plan:
-    """What each round emits for a chunk, given the answers so far. ``source`` walks a chunk's anchors in blocks."""
-
-    def __init__(self, source: Source, buckets: int):
-        self.source, self.buckets = source, buckets
-
-    def _light(self, texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        parts = [(a.gram >> U(64 - GRAM_BITS), a.stretch, a.rank) for a in self.source(texts)]
-        return tuple(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, U if i < 2 else np.int64) for i in range(3))  # type: ignore[return-value]
+    """What each round emits for a chunk, given the answers so far. ``read`` makes Texts of its ordered rows."""
+
+    def __init__(self, read: Callable[[pa.Table], Texts], buckets: int):
+        self.read, self.buckets = read, buckets
+
+    def _earlier(self, keys: Keys, rank: np.ndarray, replies: pa.Table) -> np.ndarray:
+        """Which keys stand in an earlier chunk, or in this one at a smaller rank."""
+        unique, order, first = keys.distinct()
+        if not len(unique):
+            return np.zeros(0, bool)
+        before = answers(replies, True, np.diff(spread(unique.a, 64, self.buckets))).astype(bool)
+        low, count = np.minimum.reduceat(rank[order], first), np.diff(np.append(first, len(keys)))
+        out = np.empty(len(keys), bool)
+        out[order] = np.repeat(before, count) | (rank[order] > np.repeat(low, count))
+        return out
+
+    def _run(self, chunk: int, keys: Keys, state: dict) -> pa.Table:
+        unique = keys.distinct()[0]
+        return run_rows(chunk, unique.a, 64, self.buckets, unique.b, state=pickle.dumps(state))
 
     def first(self, texts: pa.Table) -> pa.Table:
         texts = ordered(texts)
-        gram, stretch, rank = self._light(texts)
-        keys, inverse, low, high = _least_rank(gram, rank)
-        short = (stretch >> U(32)).astype(np.uint32)
-        order = np.argsort(inverse, kind="stable")
-        at = np.searchsorted(inverse[order], np.arange(len(keys)))
-        s = short[order]
-        least, most = (np.minimum.reduceat(s, at), np.maximum.reduceat(s, at)) if len(keys) else (s, s)
-        flags = (low != high).astype(np.uint8) | (least != most).astype(np.uint8) << 1
-        return run_rows(_chunk(texts), keys, GRAM_BITS, self.buckets, least, flags)
+        found = self.read(texts).anchors()
+        gram = found.gram >> U(64 - GRAM_BITS)
+        order = np.argsort(gram, kind="stable")
+        gram, short, rank = gram[order], found.short[order], found.rank[order]
+        at = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, np.int64)
+        if not len(at):
+            return run_rows(_chunk(texts), gram, GRAM_BITS, self.buckets, short, np.zeros(0, np.uint8))
+        least, most = np.minimum.reduceat(short, at), np.maximum.reduceat(short, at)
+        flags = (np.minimum.reduceat(rank, at) != np.maximum.reduceat(rank, at)).astype(np.uint8) | (least != most).astype(np.uint8) << 1
+        return run_rows(_chunk(texts), gram[at], GRAM_BITS, self.buckets, least, flags)
 
     def second(self, texts: pa.Table, replies: pa.Table) -> pa.Table:
-        texts = ordered(texts)
         if not texts.num_rows:
             return run_rows(0, np.zeros(0, U), 64, self.buckets)
-        gram, stretch, _ = self._light(texts)
-        keys, inverse = np.unique(gram, return_inverse=True)
-        answer = answers(replies, False, np.diff(spread(keys, GRAM_BITS, self.buckets)))
-        flags = answer[inverse] if len(keys) else np.zeros(0, np.uint8)
-        shared = (flags & 1).astype(bool)
-        state = pickle.dumps({"flags": flags[shared].tobytes(), "shared": np.packbits(shared).tobytes(), "n": len(flags)})
-        return run_rows(_chunk(texts), np.unique(stretch[shared]), 64, self.buckets, state=state)
-
-    def _decided(self, texts: pa.Table, state: dict, earlier: Callable[[np.ndarray], np.ndarray] | None) -> Iterator[tuple[Anchors, np.ndarray, np.ndarray]]:
-        """Each block's anchors with (covered as a whole, window by window)."""
-        shared = np.unpackbits(np.frombuffer(state["shared"], np.uint8), count=state["n"]).astype(bool) if state["n"] else np.zeros(0, bool)
-        mixed = np.zeros(state["n"], bool)
-        mixed[shared] = (np.frombuffer(state["flags"], np.uint8) & 2).astype(bool)
-        if earlier is None:
-            whole = np.unpackbits(np.frombuffer(state["whole"], np.uint8), count=state["n"]).astype(bool)
-        else:
-            _, stretch, rank = self._light(texts)
-            keys, inverse, low, _ = _least_rank(stretch[shared], rank[shared])
-            whole = np.zeros(state["n"], bool)
-            whole[shared] = earlier(keys)[inverse] | (rank[shared] > low[inverse])
-        at = 0
-        for a in self.source(texts):
-            part = slice(at, at + len(a.gram))
-            at += len(a.gram)
-            yield a, whole[part], shared[part] & mixed[part] & ~whole[part]
+        texts = ordered(texts)
+        read = self.read(texts)
+        found = read.anchors()
+        keys, inverse = np.unique(found.gram >> U(64 - GRAM_BITS), return_inverse=True)
+        flags = answers(replies, False, np.diff(spread(keys, GRAM_BITS, self.buckets)))[inverse] if len(keys) else np.zeros(0, np.uint8)
+        shared = np.flatnonzero(flags & 1)
+        state = {"n": len(flags), "shared": np.packbits(flags & 1).tobytes(), "mixed": np.packbits(flags[shared] >> 1).tobytes()}
+        return self._run(_chunk(texts), stretch_keys(read, found, shared), state)
 
     def third(self, texts: pa.Table, replies: pa.Table) -> pa.Table:
-        texts = ordered(texts)
         if not texts.num_rows:
             return run_rows(0, np.zeros(0, U), 64, self.buckets)
-        state, keys, whole = state_of(replies), [], []
-        earlier = lambda k: answers(replies, True, np.diff(spread(k, 64, self.buckets))).astype(bool) if len(k) else np.zeros(0, bool)
-        for a, w, single in self._decided(texts, state, earlier):
-            whole.append(w)
-            keys.append(np.unique(a.window[_expand(a.lo[single], a.hi[single])]))
-        state["whole"] = np.packbits(np.concatenate(whole) if whole else np.zeros(0, bool)).tobytes()
-        return run_rows(_chunk(texts), np.unique(np.concatenate(keys)) if keys else np.zeros(0, U), 64, self.buckets, state=pickle.dumps(state))
+        texts, state = ordered(texts), state_of(replies)
+        read = self.read(texts)
+        found = read.anchors()
+        shared = np.flatnonzero(_bits(state["shared"], state["n"]))
+        whole = self._earlier(stretch_keys(read, found, shared), found.rank[shared], replies)
+        single = shared[_bits(state["mixed"], len(shared)) & ~whole]
+        state["whole"] = np.packbits(whole).tobytes()
+        return self._run(_chunk(texts), window_keys(read, _expand(found.lo[single], found.hi[single])), state)
 
     def covered(self, texts: pa.Table, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """Begin and end of each stretch of bytes (of the ordered chunk) whose windows stand earlier."""
-        state, begins, ends, late = state_of(replies), [], [], []
-        for a, w, single in self._decided(texts, state, None):
-            begins.append(a.begin[a.lo[w]])
-            ends.append(a.end[a.hi[w] - 1])
-            i = _expand(a.lo[single], a.hi[single])
-            late.append((a.window[i], np.repeat(a.rank[single], (a.hi - a.lo)[single]), a.begin[i], a.end[i]))
-        key, rank, begin, end = (np.concatenate([x[i] for x in late]) if late else np.zeros(0, np.int64) for i in range(4))
-        keys, inverse, low, _ = _least_rank(key.astype(U), rank)
-        if len(keys):
-            hit = answers(replies, True, np.diff(spread(keys, 64, self.buckets))).astype(bool)[inverse] | (rank > low[inverse])
-            begins.append(begin[hit])
-            ends.append(end[hit])
-        return (np.concatenate(begins), np.concatenate(ends)) if begins else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        state, read = state_of(replies), self.read(texts)
+        found = read.anchors()
+        shared = np.flatnonzero(_bits(state["shared"], state["n"]))
+        whole = _bits(state["whole"], len(shared))
+        single = shared[_bits(state["mixed"], len(shared)) & ~whole]
+        window = _expand(found.lo[single], found.hi[single])
+        hit = window[self._earlier(window_keys(read, window), np.repeat(found.rank[single], (found.hi - found.lo)[single]), replies)]
+        whole = shared[whole]
+        return np.concatenate((read.begin(found.lo[whole]), read.begin(hit))), np.concatenate((read.end(found.hi[whole] - 1), read.end(hit)))
 
 
 def _chunk(texts: pa.Table) -> int:
     return texts[CHUNK][0].as_py()
 
 
-def marked(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Which of n bytes are covered."""
-    depth = np.bincount(begin, minlength=n + 1)[: n + 1] - np.bincount(end, minlength=n + 1)[: n + 1]
-    return np.cumsum(depth)[:n] > 0
-
-
-def find_repeats(docs: DataFrame, source: Source, finish: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table], schema: str | T.StructType, chunk_bytes: int) -> DataFrame:
-    """``finish`` gets each chunk's ordered rows and the covered stretches (begin, end in the chunk's bytes)."""
-    dealt, n = in_chunks(docs, chunk_bytes)
-    plan = Plan(source, n)
-    first, second, third, covered = plan.first, plan.second, plan.third, plan.covered
+def runs_of(at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the maximal runs of covered bytes, which end where a text does; ``at``: where texts begin."""
+    if not len(begin):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    text = np.searchsorted(at, begin, side="right")
+    new = np.flatnonzero((begin[1:] > end[:-1]) | (text[1:] != text[:-1])) + 1
+    return begin[np.concatenate(([0], new))], end[np.append(new, len(end)) - 1]
+
+
+def find_repeats(docs: DataFrame, read: Callable[[pa.Table], Texts], finish: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table], schema: str | T.StructType, chunk_bytes: int, apart: bool = False) -> DataFrame:
+    """``finish`` gets each chunk's ordered rows and the covered stretches (begin, end in the chunk's bytes). ``apart``:
+    texts of one id don't count against each other (ranks have to be equal for them as well)."""
+    limits, buckets = limits_of(docs, chunk_bytes)
+    dealt, group = in_chunks(docs, limits), limits.group if apart and len(set(limits.group)) < len(limits.group) else None
+    plan = Plan(read, buckets)
+    first, covered = trim(plan.first), plan.covered
     empty = pa.schema([(f.name, pa.int64()) for f in (schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)).fields])
 
     def last(texts: pa.Table, replies: pa.Table) -> pa.Table:
         texts = ordered(texts)
         return finish(texts, *covered(texts, replies)) if texts.num_rows else empty.empty_table()
 
-    replies = dealt.groupBy(CHUNK).applyInArrow(lambda t: first(t), RUNS).groupBy(BUCKET).applyInArrow(lambda t: resolve_shared(t), REPLIES)
-    for emit in (second, third):
+    shared, earlier = trim(resolve_shared), trim(resolve_earlier)
+    replies = dealt.groupBy(CHUNK).applyInArrow(lambda t: first(t), RUNS).groupBy(BUCKET).applyInArrow(lambda t: shared(t), REPLIES)
+    for emit in (trim(plan.second), trim(plan.third)):
         runs = dealt.groupBy(CHUNK).cogroup(replies.groupBy(CHUNK)).applyInArrow((lambda f: lambda t, r: f(t, r))(emit), RUNS)
-        replies = runs.groupBy(BUCKET).applyInArrow(lambda t: resolve_earlier(t), REPLIES)
-    return dealt.groupBy(CHUNK).cogroup(replies.groupBy(CHUNK)).applyInArrow(last, schema)
+        replies = runs.groupBy(BUCKET).applyInArrow(lambda t: earlier(t, group), REPLIES)
+    done = trim(last)
+    return dealt.groupBy(CHUNK).cogroup(replies.groupBy(CHUNK)).applyInArrow(lambda t, r: done(t, r), schema)

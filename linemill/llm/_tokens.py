@@ -7,7 +7,9 @@ same for equal words on every machine.
 
 from __future__ import annotations
 
+import ctypes
 import functools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -81,15 +83,39 @@ def flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
+def trim(function: Callable) -> Callable:
+    """A function after which freed memory goes back to the system: workers live on between tasks, and what a chunk took
+    would stay with them."""
+
+    @functools.wraps(function)
+    def run(*args):
+        try:
+            return function(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return run
+
+
 class Words:
     """``start``, ``end`` (bytes), ``hash`` of each word of all texts; ``of_text``: index of each text's first word."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray, member: np.ndarray, lower: bool = True):
-        inside = member[data]
-        cut = np.zeros(len(data) + 1, bool)
-        cut[at] = True
-        self.start = np.flatnonzero(inside & (cut[:-1] | ~np.concatenate(([False], inside[:-1])))) if len(data) else np.zeros(0, np.int64)
-        self.end = np.flatnonzero(inside & (cut[1:] | ~np.concatenate((inside[1:], [False])))) + 1 if len(data) else np.zeros(0, np.int64)
+        starts, ends, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], len(data)
+        for lo in range(0, n, BLOCK):
+            hi = min(lo + BLOCK, n)
+            cut = np.zeros(hi - lo + 1, bool)
+            cut[at[np.searchsorted(at, lo) : np.searchsorted(at, hi, side="right")] - lo] = True
+            around = np.zeros(hi - lo + 2, bool)  # from the byte before to the byte behind
+            from_, to = max(lo - 1, 0), min(hi + 1, n)
+            around[from_ - lo + 1 : to - lo + 1] = member[data[from_:to]]
+            starts.append(np.flatnonzero(around[1:-1] & (cut[:-1] | ~around[:-2])) + lo)
+            ends.append(np.flatnonzero(around[1:-1] & (cut[1:] | ~around[2:])) + lo + 1)
+        self.start, self.end = np.concatenate(starts), np.concatenate(ends)
         self.of_text = np.searchsorted(self.start, at)
         self.hash = np.empty(len(self.start), U)
         i = 0

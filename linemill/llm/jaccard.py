@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linemill.llm._common import release, reliable
-from linemill.llm._repeats import BUCKET, CHUNK, REPLIES, RUNS, _replies, _runs_of, answers, run_rows, spread, unpack
-from linemill.llm._tokens import NOT_SPACE, U, Words, flat, grams, mix, slices
+from linemill.llm._repeats import BUCKET, CHUNK, REPLIES, RUNS, _replies, _runs_of, answers, grown, run_rows, spread, unpack
+from linemill.llm._tokens import NOT_SPACE, U, Words, flat, grams, mix, slices, trim
 
 SHINGLE, PERCENT = 5, 80
 #: So many classes of a branch are compared with all of it in one round; the rest follow in further rounds.
@@ -255,13 +255,15 @@ def jaccard_components(docs: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame
     classes = signed.where("n > 0 and doc_id is not null").groupBy("n", "sig_a", "sig_b").agg(least)
     classes = reliable(classes.select("n", "sig_a", "sig_b", F.col("least.rep").alias("rep"), F.col("least._lm_key").alias("_lm_key")))
     total = int(docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0)
+    chunk_bytes, buckets = grown(total, chunk_bytes)
     chunks = max(1, -(-total // chunk_bytes))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int").alias(CHUNK)
     dealt = rows.where("doc_id is not null").select(place("doc_id"), "doc_id", "_lm_key", "text").repartition(chunks, CHUNK)
     keep = classes.select(place("rep"), F.col("rep").alias("doc_id"), "_lm_key", "rep")
-    runs = dealt.groupBy(CHUNK).cogroup(keep.groupBy(CHUNK)).applyInArrow(lambda t, r: _frequency_runs(t, r, chunks), RUNS)
-    replies = runs.groupBy(BUCKET).applyInArrow(lambda t: _frequency_classes(t), REPLIES)
-    sets = reliable(dealt.groupBy(CHUNK).cogroup(replies.groupBy(CHUNK)).applyInArrow(lambda t, r: _ordered_sets(t, r, chunks), _SETS))
+    frequency, ordered, classes_of = trim(_frequency_runs), trim(_ordered_sets), trim(_frequency_classes)
+    runs = dealt.groupBy(CHUNK).cogroup(keep.groupBy(CHUNK)).applyInArrow(lambda t, r: frequency(t, r, buckets), RUNS)
+    replies = runs.groupBy(BUCKET).applyInArrow(lambda t: classes_of(t), REPLIES)
+    sets = reliable(dealt.groupBy(CHUNK).cogroup(replies.groupBy(CHUNK)).applyInArrow(lambda t, r: ordered(t, r, buckets), _SETS))
     comp = _links(sets)
     named = classes.join(comp, classes["rep"] == comp["node"], "left").select("n", "sig_a", "sig_b", F.coalesce("comp", "rep").alias("comp"))
     done = signed.join(named, ["n", "sig_a", "sig_b"], "left")

@@ -37,3 +37,19 @@ def test_columns_stay_and_empty_tables_work(spark):
     assert done.columns == [*df.columns, "_lm_lines", "_lm_removed"] and done.where("n_chars <> coalesce(length(text), 0)").count() == 0
     assert done.where("doc_id = 200 and text is null").count() == 1
     assert line_dedup.line_report(cases.empty(spark)).count() == 0
+
+
+def test_skewed_lengths_and_a_heavy_id(spark):
+    lines = [f"line {i} of the common text" for i in range(40)]
+    data = [(5, "\n".join([f"{k} first", *lines[k : k + 4], f"{k} last"])) for k in range(30)] + [(i, f"short {i}\n" + "\n".join(lines[i % 7 : i % 7 + 2])) for i in range(60)]
+    data += [(1000 + i, "\n".join(f"{i} {k}" for k in range(300)) + "\n" + "\n".join(lines)) for i in range(6)] + [(2000, "a line\n" * 20_000)]
+    df = spark.createDataFrame([(*d, "x") for d in data], "doc_id long, text string, n_lines string").repartition(6)
+    got = sorted((r.doc_id, r.text, r._lm_lines, r._lm_removed) for r in line_dedup.dedup_lines(df, 1_000).collect())
+    assert got == sorted((i, *want) for (i, _), want in zip(sorted(data), expected(data), strict=True))
+
+
+def test_reserved_columns_raise(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="_lm_lines"):
+        line_dedup.dedup_lines(spark.createDataFrame([(1, "x", 2)], "doc_id long, text string, _lm_lines int"))
