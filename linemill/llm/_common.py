@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,22 +40,58 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def reserve(df: DataFrame, *names: str) -> None:
-    """Refuse a table that has columns of the names that an operator gives out."""
-    if clash := sorted(set(names) & set(df.columns)):
-        raise ValueError(f"rename the columns {', '.join(clash)}: the operator adds columns of these names")
-
-
 def free_name(df: DataFrame, name: str) -> str:
-    """A column name that the table doesn't have."""
-    while name in df.columns:
+    """``name``, with as many underscores behind it as keep it apart from the table's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
         name += "_"
     return name
 
 
+def plain(df: DataFrame, *read: str) -> tuple[DataFrame, list[str]]:
+    """The table with names of its own for all columns but those that are read, so that none clashes with what an operator
+    adds; and the names, in the table's order."""
+    names = [c if c in read else f"_x{i}" for i, c in enumerate(df.columns)]
+    return df.toDF(*names), names
+
+
+def renamed(df: DataFrame, names: list[str], columns: list[str]) -> list[Column]:
+    """A ``plain`` table's columns under their former names."""
+    return [F.col(n).alias(c) for n, c in zip(names, columns, strict=True)]
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
 def hex_sha256(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Entries of a block of ``running``.
+STEPS = 256
+
+
+def running(lengths: Column) -> Column:
+    """For each entry of an array of ints the sum of those before it, as array<int>.
+
+    An array that grows by one entry at a time is copied each time. So sums are made within blocks of ``STEPS`` entries,
+    from where the blocks begin: the work stays near proportional up to millions of entries.
+    """
+
+    def sums(items: Column, begin: Column) -> Column:
+        first = F.struct(begin.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(items, first, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def by_block(whole: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor(F.greatest(F.size(whole) - 1, F.lit(0)) / STEPS).cast("int"))
+        blocks = F.transform(numbers, lambda b: F.slice(whole, b * STEPS + 1, F.lit(STEPS)))
+        total = lambda block: F.aggregate(block, F.lit(0), lambda a, x: a + x)
+        return let(blocks, lambda cut: F.flatten(F.zip_with(cut, sums(F.transform(cut, total), F.lit(0)), sums)))
+
+    return let(lengths, by_block)

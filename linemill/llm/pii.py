@@ -3,10 +3,10 @@
 Everything is a DataFrame expression of one projection: no shuffle, no Python on the executors.
 
 Positions come from pairing what a pattern matched with what lies between the matches: ``split`` and
-``regexp_extract_all`` walk the same leftmost, non-overlapping matches, so a fold over both gives each
-match's start. A text of any length costs time in proportion to it: patterns start only at the first
-character of a run or where the last match ended, and repeat possessively, so that neither backtracking nor
-recursion grows with the text.
+``regexp_extract_all`` walk the same leftmost, non-overlapping matches, so running sums over both give each
+match's start. A text of any length and of any number of matches costs time in proportion to it: patterns start only at
+the first character of a run or where the last match ended, and repeat possessively, so that neither backtracking nor
+recursion grows with the text, and sums are made in blocks.
 
 Defined results: a null text counts as empty (no spans); an empty table gives an empty table; repeated rows and
 repeated ids are judged row by row; other columns of the input are ignored. Offsets are code points, end exclusive.
@@ -19,9 +19,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linemill.llm._common import hex_sha256, text_or_empty
+from linemill.llm._common import hex_sha256, let, plain, running, text_or_empty
 
-#: Characters on either side of a candidate in which context words count.
+#: Characters on either side of a candidate in which context words count, up to the next candidate of its kind.
 CONTEXT_CHARS = 40
 #: What a context word adds to a score, and the score from which a span of the optional kinds is reported.
 CONTEXT_GAIN, REPORT_AT = 0.3, 0.6
@@ -106,31 +106,35 @@ def _spans(kind: Kind) -> Column:
     """The confirmed spans of one kind, from the columns that hold its matches and the text between them."""
     found, between = F.col(f"_{kind.name}_found"), F.col(f"_{kind.name}_between")
     empty = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,score:double>>)")
-    item = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.get(between, i).alias("before"), F.get(between, i + 1).alias("after")))
+    sides = F.zip_with(F.slice(between, F.lit(1), F.size(found)), F.slice(between, F.lit(2), F.size(found)), lambda a, b: F.struct(a.alias("before"), b.alias("after")))
+    items = F.zip_with(found, sides, lambda m, s: F.struct(m.alias("m"), s["before"].alias("before"), s["after"].alias("after")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["before"])
-        end = start + F.length(x["m"])
+    def span(x: Column, at: Column) -> Column:
+        start = at + F.length(x["before"])
         near = F.concat_ws(" ", F.right(x["before"], F.lit(CONTEXT_CHARS)), F.left(x["after"], F.lit(CONTEXT_CHARS)))
         score = F.lit(kind.score) + F.when(near.rlike(rf"(?i)(?<![A-Za-z])(?:{kind.words})"), CONTEXT_GAIN).otherwise(0.0)
-        span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
-        keep = _confirmed(kind.name, x["m"]) if kind.always else _confirmed(kind.name, x["m"]) & (score >= REPORT_AT)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        return F.when(_confirmed(kind.name, x["m"]), F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(x["m"])).alias("end"), score.alias("score")))
 
-    folded = F.aggregate(item, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(F.size(found) > 0, folded).otherwise(empty)
+    def placed(pairs: Column) -> Column:
+        begins = running(F.transform(pairs, lambda x: F.length(x["before"]) + F.length(x["m"])))
+        spans = F.zip_with(pairs, begins, span)
+        return F.filter(spans, lambda x: x.isNotNull() if kind.always else x.isNotNull() & (x["score"] >= REPORT_AT))
+
+    return F.when(F.size(found) > 0, let(items, placed)).otherwise(empty)
 
 
 def find_pii(df: DataFrame, text_col: str = "text", out: str = "pii", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """Add column ``out``: array of (kind, start, end, score), in the order of ``kinds``, then start."""
-    kept = [F.col(f"`{c}`") for c in df.columns if c != out]
+    df, names, columns = *plain(df, text_col), df.columns
+    kept = [F.col(n).alias(n) for n, c in zip(names, columns, strict=True) if c != out]
     text = text_or_empty(text_col)
     none = F.expr("cast(array() as array<string>)")
     matched = df.select(*kept, *(x for k in kinds for x in (
         F.when(text.rlike(k.needs), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))).otherwise(none).alias(f"_{k.name}_found"),
         F.when(text.rlike(k.needs), F.split(text, k.pattern, -1)).otherwise(none).alias(f"_{k.name}_between"),
     )))
-    return matched.select(*kept, F.concat(*(_spans(k) for k in kinds)).alias(out))
+    back = [F.col(n).alias(c) for n, c in zip(names, columns, strict=True) if c != out]
+    return matched.select(*back, F.concat(*(_spans(k) for k in kinds)).alias(out))
 
 
 def redact(df: DataFrame, text_col: str = "text", spans_col: str = "pii") -> DataFrame:
