@@ -26,7 +26,8 @@ def test_ties_nulls_and_blocks(spark):
     rows = [(i, [((i * 7919) % 13 - 6) / 7, ((i * 31) % 5 - 2) / 3, 0.1]) for i in range(-20, 130)]
     rows += [(500 + i, [0.5, 0.5, 0.5]) for i in range(60)]  # one vector, many ids
     rows += [(140, None), (160, []), (180, [NAN, 1.0, 1.0]), (201, [INF, 0.0, 0.0]), (220, [None, 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (240, [1.0]), (241, [2.0]), (40, [0.2, 0.2, 0.2])]
-    check(spark, rows, query_block=3, candidate_block=16)
+    check(spark, rows, query_block=3)
+    check(spark, rows)
 
 
 def test_few_rows_and_empty(spark):
@@ -38,3 +39,17 @@ def test_few_rows_and_empty(spark):
 
 def test_whole_table(spark):
     same(spark, "/root/testdata/sf0.001", queries.op8_exact_topk, ORACLES["op8_exact_topk"])
+
+
+def test_blocks_of_scores(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    vectors = rng.integers(-9, 9, (300, 4))
+    batch = pa.record_batch([pa.array(np.arange(300)), pa.array(vectors.tolist(), pa.list_(pa.int64()))], names=["vec_id", "q"])
+    state = topk._Pass(np.arange(0, 300, 20), batch["q"].take(pa.array(np.arange(0, 300, 20))), 400, 5)
+    whole = [np.concatenate(x, axis=-1) for x in zip(*((ids, scores) for _, ids, scores, _ in state.scored(iter([batch]))), strict=True)]
+    monkeypatch.setattr(topk, "SCORES", 64)
+    cut = list(state.scored(iter([batch])))
+    assert max(x[2].size for x in cut) <= 64 and (np.concatenate([x[2] for x in cut], axis=1) == whole[1]).all() and (whole[1] == vectors[::20] @ vectors.T).all()
