@@ -8,13 +8,17 @@ A document's set: its distinct 5-word shingles as 64-bit hashes. Two sets link i
    by hash, so that rare shingles lead. A class of which over a fifth of the shingles occur nowhere else links with
    nothing and leaves.
 3. Two linked sets share a shingle among the first |x| - ceil(0.8 |x|) + 1 of each. Those shingles are the first
-   branches of the prefix tree; ``posting`` lists the classes on each branch.
-4. On each branch pivots are compared with the classes that are not yet in their component, if what is left of both
-   sets from the branch on can make up the overlap they need; for a pivot the partners' ordered sets form a trie that is walked once: what partners share in front is counted once, and a subtree ends
-   as soon as no set in it can still reach the overlap it needs. Links merge components. Then the next pivot: pairs
-   that are in one component already, or were compared, don't come again. A branch of n copies thus costs n
-   comparisons, not n^2, and no link between different components is missed: the rounds end when every branch's
-   pairs are settled.
+   branches of the prefix tree. Branches that hold the same classes are one: the first in the global order stays, as
+   two sets' overlap counts from the first shingle that they share. Rows of frequent shingles are joined by (shingle,
+   salt), so that no task meets all of them.
+4. First each class meets the least class of most of its branches, which joins a group of near copies in as many
+   comparisons as it has members. What is met by one class stands in tries of at most ``BLOCK_SETS`` sets.
+5. Each branch on which several components are left is joined as a whole: the classes' shingles from the branch's on
+   form a trie, which all of them walk. What sets share in front is counted once, and a subtree ends as soon as no set in
+   it can still reach the overlap it needs, or all are of the walker's component. A branch of many sets is cut into
+   blocks, and each pair of blocks is a task. Only links that join components come out, not pairs.
+
+The number of rounds is fixed, but for the components' own, which grow with the logarithm of their size.
 
 Defined results: words are runs of bytes other than space and 9 to 13, A-Z lower-cased; a document of fewer than five
 words has one shingle, its whole sequence; null or wordless texts have no shingles, link with nothing and are their
@@ -31,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linemill.llm._common import release, reliable
+from linemill.llm._common import free_name, release, reliable
 from linemill.llm._repeats import BUCKET, CHUNK, REPLIES, RUNS, _replies, _runs_of, answers, grown, run_rows, spread, unpack
 from linemill.llm._tokens import NOT_SPACE, U, Words, flat, grams, mix, slices, trim
 
 SHINGLE, PERCENT = 5, 80
-#: So many classes of a branch are compared with all of it in one round; the rest follow in further rounds.
-PIVOTS = 64
+#: Sets and shingles of a trie at most (a pair of blocks holds twice as many); tasks over which a shingle's rows go.
+BLOCK_SETS, BLOCK_SHINGLES, SALTS = 256, 1 << 19, 32
 
 
 def shingle_sets(column: pa.ChunkedArray | pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -157,55 +161,113 @@ def pack_tokens(tokens: np.ndarray, cls: np.ndarray) -> bytes:
 
 
 class Trie:
-    """Ordered sets under shared prefixes. ``walk`` counts each set's overlap with a probe, and prunes."""
+    """Ordered sets under shared prefixes. ``walk`` finds those of enough overlap with a probe, and prunes."""
 
-    def __init__(self, sets: list[np.ndarray], sizes: list[int]):
+    def __init__(self, sets: list[np.ndarray], sizes: list[int], comps: list[int] | None = None):
+        """``sizes``: of the whole sets, of which ``sets`` may be only the ends; ``comps``: numbers of components."""
         self.order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
-        self.sets, self.sizes = [sets[i] for i in self.order], [sizes[i] for i in self.order]
-
-    def walk(self, probe: np.ndarray, size: int) -> Iterator[int]:
-        """Indices of the sets whose Jaccard with the probe (of ``size`` shingles in all) is high enough."""
-        need = [-(-PERCENT * (size + n) // (100 + PERCENT)) for n in self.sizes]  # 100 o >= 80 (a + b - o)
-        probe = np.sort(probe)
-        todo = [(0, len(self.sets), 0, 0)]
+        self.sets, self.sizes = [sets[i] for i in self.order], np.array([sizes[i] for i in self.order], np.int64)
+        self.comps = np.array([comps[i] for i in self.order], np.int64) if comps else np.arange(len(sets))
+        self.nodes: list[tuple] = []  # (ends here, least size, longest rest, component or -1, children)
+        self.paths: list[np.ndarray] = []
+        if sets:
+            self._grow()
+        tokens = np.concatenate(self.paths) if self.paths else np.zeros(0, U)
+        self.known, self.ids = np.unique(tokens, return_inverse=True)
+        self.cut = np.cumsum([0] + [len(p) for p in self.paths])
+        self.last = np.array([p[-1] if len(p) else 0 for p in self.paths], U)
+
+    def _grow(self) -> None:
+        todo = [(0, len(self.sets), 0, -1)]
         while todo:
-            lo, hi, depth, overlap = todo.pop()
+            lo, hi, depth, parent = todo.pop()
             a, b = self.sets[lo], self.sets[hi - 1]
             least = min(len(a), len(b))
             differ = np.flatnonzero(a[depth:least] != b[depth:least])
             upto = depth + int(differ[0]) if len(differ) else least
-            at = np.searchsorted(probe, a[depth:upto])
-            at[at == len(probe)] = 0
-            overlap += int((probe[at] == a[depth:upto]).sum()) if len(probe) else 0
-            # The probe's shingles that order behind this node are all that can still be met.
-            behind = len(probe) - int(np.searchsorted(probe, a[upto - 1], side="right")) if upto else len(probe)
-            if all(overlap + min(behind, len(self.sets[i]) - upto) < need[i] for i in ((lo,) if hi - lo == 1 else range(lo, hi))):
-                continue
-            while lo < hi and len(self.sets[lo]) == upto:  # sets that end here come first
-                if overlap >= need[lo]:
-                    yield self.order[lo]
-                lo += 1
+            one = int(self.comps[lo]) if (self.comps[lo:hi] == self.comps[lo]).all() else -1
+            rest = max(len(self.sets[i]) for i in range(lo, hi)) - upto
             start = lo
-            for i in range(lo + 1, hi + 1):
+            while start < hi and len(self.sets[start]) == upto:  # sets that end here come first
+                start += 1
+            self.paths.append(a[depth:upto])
+            self.nodes.append((range(lo, start), int(self.sizes[lo:hi].min()), rest, one, []))
+            if parent >= 0:
+                self.nodes[parent][-1].append(len(self.nodes) - 1)
+            me = len(self.nodes) - 1
+            for i in range(start + 1, hi + 1):
                 if i == hi or self.sets[i][upto] != self.sets[start][upto]:
-                    todo.append((start, i, upto, overlap))
+                    todo.append((start, i, upto, me))
                     start = i
 
+    def walk(self, probe: np.ndarray, size: int, comp: int = -1) -> Iterator[int]:
+        """Indices of the sets, but those of component ``comp``, whose Jaccard with the probe (of ``size`` shingles in
+        all) is high enough."""
+        if not self.nodes:
+            return
+        met = np.zeros(len(self.known) + 1, np.int32)
+        at = np.searchsorted(self.known, probe)
+        met[at[self.known[np.minimum(at, len(self.known) - 1)] == probe] if len(self.known) else at[:0]] = 1
+        seen = np.concatenate(([0], np.cumsum(met[self.ids])))
+        shared = (seen[self.cut[1:]] - seen[self.cut[:-1]]).tolist()  # of each path, however many sets go through it
+        # The probe's shingles that order behind a node are all that can still be met.
+        behind = (len(probe) - np.searchsorted(probe, self.last, side="right")).tolist()
+        todo = [(0, 0)]
+        while todo:
+            node, overlap = todo.pop()
+            ends, least, rest, one, children = self.nodes[node]
+            if one == comp and comp >= 0:
+                continue
+            overlap += shared[node]
+            if overlap + min(behind[node], rest) < _needed(size, least):
+                continue
+            for i in ends:
+                if overlap >= _needed(size, int(self.sizes[i])) and (comp < 0 or self.comps[i] != comp):
+                    yield self.order[i]
+            todo += [(c, overlap) for c in children]
+
+
+def _needed(n: int, m: int) -> int:
+    return -(-PERCENT * (n + m) // (100 + PERCENT))  # 100 o >= 80 (n + m - o)
+
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pivot, other) of the rows whose sets link; rows of a pivot in a batch share a trie."""
-    for batch in batches:
-        rows = batch.to_pydict()
-        by: dict[tuple[int, bytes], list[int]] = {}
-        for i, p in enumerate(zip(rows["pivot"], rows["p_tokens"], strict=True)):
-            by.setdefault(p, []).append(i)
-        found: tuple[list[int], list[int]] = ([], [])
-        for (p, probe), group in by.items():
-            trie = Trie([np.frombuffer(rows["tokens"][i], U) for i in group], [rows["n"][i] for i in group])
-            for i in trie.walk(np.frombuffer(probe, U), rows["p_n"][group[0]]):
-                found[0].append(p)
-                found[1].append(rows["other"][group[i]])
-        yield pa.record_batch([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
+
+def _linked(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([x[0] for x in pairs], pa.int64()), "b": pa.array([x[1] for x in pairs], pa.int64())}, schema=_LINKS)
+
+
+def _star(others: pa.Table, pivots: pa.Table) -> pa.Table:
+    """(pivot, other) that link: the pivot walks a trie of what is to meet it."""
+    if not others.num_rows or not pivots.num_rows:
+        return _linked([])
+    rows, pivot = others.to_pydict(), pivots.slice(0, 1).to_pylist()[0]
+    trie = Trie([np.frombuffer(x, U) for x in rows["tokens"]], rows["n"])
+    return _linked([(pivot["p"], rows["other"][i]) for i in trie.walk(np.frombuffer(pivot["p_tokens"], U), pivot["p_n"])])
+
+
+def _branch(table: pa.Table) -> pa.Table:
+    """Links between components on one branch, or between two blocks of it; enough of them to join what links."""
+    rows = table.sort_by([("rep", "ascending")]).to_pydict()
+    sets = [np.frombuffer(x, U) for x in rows["tokens"]]
+    names = {c: i for i, c in enumerate(dict.fromkeys(rows["comp"]))}
+    comps = [names[c] for c in rows["comp"]]
+    root = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    trie, out = Trie(sets, rows["n"], comps), []
+    for i, probe in enumerate(sets):
+        for j in trie.walk(probe, rows["n"][i], comps[i]):
+            a, b = find(comps[i]), find(comps[j])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((rows["rep"][i], rows["rep"][j]))
+    return _linked(out)
 
 
 def _stars(links: DataFrame) -> DataFrame:
@@ -270,6 +332,12 @@ def jaccard_components(docs: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame
     return done.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"), "_lm_key")
 
 
+def _salted(posting: DataFrame, info: DataFrame) -> DataFrame:
+    """posting (token, salt, ...) with the columns of info (token, ...), one row a token. What is known of a token goes to
+    its salts first, so that the rows of a frequent one meet it in many tasks."""
+    return posting.join(posting.select("token", "salt").distinct().join(info, "token"), ["token", "salt"])
+
+
 def _links(sets: DataFrame) -> DataFrame:
     """(node, comp) of the sets: the least rep that links reach.
 
@@ -277,37 +345,37 @@ def _links(sets: DataFrame) -> DataFrame:
     they share overlap in no more than the lesser m, so only pairs of a fitting m are compared there.
     """
     content = sets.select("rep", "n", "tokens")
-    posting = sets.select("rep", "n", "at", F.posexplode("prefix").alias("i", "token")).select("token", "rep", "n", (F.col("n") - F.col("at") - F.col("i")).alias("m"))
-    shared = posting.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n", "m")).alias("first")).where("c > 1")
+    posting = sets.select("rep", "n", "at", F.posexplode("prefix").alias("i", "token"))
+    posting = posting.select("token", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).alias("salt"), "rep", "n", "i", (F.col("n") - F.col("at") - F.col("i")).alias("m"))
+    mark = [F.bit_xor(F.xxhash64(F.lit(k), "rep")).alias(f"mark{k}") for k in (1, 2)]  # of the classes on a branch
+    shared = posting.groupBy("token").agg(F.count("*").alias("c"), *mark, F.sum("m").alias("whole"), F.min(F.struct("rep", "n", "m")).alias("first")).where("c > 1")
+    # Of branches that hold the same classes the first in the global order has the longest rest of each.
+    alike = shared.groupBy("c", "mark1", "mark2").agg(F.max(F.struct("whole", "token", "first")).alias("kept"), F.count("*").alias("alike"))
+    kept = alike.select("kept.token", "kept.first", "alike")
+    posting = reliable(_salted(posting, kept))
     # First each class meets one partner only: the least class of most of its branches.
-    met_first = posting.join(shared, "token").where("rep != first.rep").where(_fits("n", "m", "first.n", "first.m"))
-    best = met_first.groupBy(F.col("first.rep").alias("pivot"), F.col("rep").alias("other")).agg(F.count("*").alias("c")).groupBy("other").agg(F.max(F.struct("c", (-F.col("pivot")).alias("minus"))).alias("b"))
-    posting = reliable(posting.join(shared.select("token"), "token", "left_semi"))
-    asked = reliable(best.select((-F.col("b.minus")).alias("pivot"), "other"))
-    done, met = asked, None
-    comp = reliable(components(sets.select(F.col("rep").alias("node")).distinct(), _compared(asked, content)))
-    while True:
-        placed = posting.join(comp, posting["rep"] == comp["node"]).select("token", "rep", "n", "m", "comp")
-        # A branch is open while it holds several components; its most frequent one needs no pivots of its own.
-        tally = placed.groupBy("token", "comp").agg(F.count("*").alias("c"), F.min("n").alias("n"), F.max("m").alias("m")).groupBy("token")
-        tally = tally.agg(F.max(F.struct("c", (-F.col("comp")).alias("minus"))).alias("top"), F.count("*").alias("comps"), F.min("n").alias("least_n"), F.max("m").alias("most_m")).where("comps > 1")
-        opened = placed.join(tally.select("token", (-F.col("top.minus")).alias("main"), "least_n", "most_m"), "token").where(_fits("n", "m", "least_n", "most_m", False))
-        opened = reliable(opened)
-        minor = opened.where("comp != main")
-        minor = minor.join(met, ["token", "rep"], "left_anti") if met is not None else minor
-        place = F.row_number().over(Window.partitionBy("token").orderBy("rep"))
-        turn = reliable(minor.withColumn("place", place).where(F.col("place") <= PIVOTS).select("token", F.col("rep").alias("pivot"), F.col("n").alias("p_n"), F.col("m").alias("p_m"), F.col("comp").alias("p_comp")))
-        if turn.isEmpty():
-            return comp
-        pairs = opened.join(turn, "token").where("comp != p_comp").where(_fits("n", "m", "p_n", "p_m")).select(F.least("pivot", "rep").alias("pivot"), F.greatest("pivot", "rep").alias("other")).distinct()
-        both = done.select(F.least("pivot", "other").alias("pivot"), F.greatest("pivot", "other").alias("other"))
-        asked = reliable(pairs.join(both, ["pivot", "other"], "left_anti"))
-        if not asked.isEmpty():
-            comp = _merged(comp, _compared(asked, content))
-        done = reliable(done.unionByName(asked))
-        turn = turn.select("token", F.col("pivot").alias("rep"))
-        met = reliable(turn.unionByName(met)) if met is not None else turn
-        release(comp.sparkSession)
+    met = posting.where("rep != first.rep").where(_fits("n", "m", "first.n", "first.m"))
+    best = met.groupBy(F.col("first.rep").alias("pivot"), F.col("rep").alias("other")).agg(F.sum("alike").alias("c")).groupBy("other").agg(F.max(F.struct("c", (-F.col("pivot")).alias("minus"))).alias("b"))
+    comp = reliable(components(sets.select(F.col("rep").alias("node")).distinct(), _compared(best.select((-F.col("b.minus")).alias("pivot"), "other"), content)))
+    release(comp.sparkSession)
+    # A branch is open while it holds several components that may link there.
+    placed = posting.drop("first", "alike").join(comp, posting["rep"] == comp["node"]).drop("node")
+    for _ in range(2):
+        tally = placed.groupBy("token").agg(F.min("n").alias("least_n"), F.max("m").alias("most_m"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+        placed = _salted(placed, tally).where(_fits("n", "m", "least_n", "most_m", False)).drop("least_n", "most_m", "low", "high")
+    placed = reliable(placed)
+    sized = placed.groupBy("token").agg(F.count("*").alias("rows"), F.sum("m").alias("whole"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_SETS), F.ceil(F.col("whole") / BLOCK_SHINGLES)).cast("int")
+    cut = _salted(placed, sized.select("token", blocks.alias("blocks"))).withColumn("block", F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("blocks")).cast("int"))
+    # Each block meets itself and every other: a row goes to one task for each block of its branch.
+    first, second = F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", first, second, "rep", "n", "i", "comp")
+    named = content.select(F.col("rep").alias("r"), "tokens")
+    ends = F.substring("tokens", 8 * F.col("i") + 1, F.octet_length("tokens"))
+    full = dealt.join(named, dealt["rep"] == named["r"]).select("token", "first", "second", "rep", "n", "comp", ends.alias("tokens"))
+    branch = trim(_branch)
+    links = reliable(full.groupBy("token", "first", "second").applyInArrow(lambda t: branch(t), "a long, b long").distinct())
+    return comp if links.isEmpty() else _merged(comp, links)
 
 
 def _fits(n: str, m: str, n2: str, m2: str, sizes: bool = True) -> str:
@@ -317,11 +385,18 @@ def _fits(n: str, m: str, n2: str, m2: str, sizes: bool = True) -> str:
 
 
 def _compared(asked: DataFrame, content: DataFrame) -> DataFrame:
-    """(a, b): the pairs (pivot, other) that link."""
-    other = content.select(F.col("rep").alias("other"), "n", "tokens")
-    pivot = content.select(F.col("rep").alias("pivot"), F.col("n").alias("p_n"), F.col("tokens").alias("p_tokens"))
-    full = asked.join(other, "other").join(pivot, "pivot").select("pivot", "other", "n", "tokens", "p_n", "p_tokens")
-    return reliable(full.mapInArrow(_verify, "a long, b long"))
+    """(a, b): the pairs (pivot, other) that link; each set is sent once, a pivot's once for each ``BLOCK_SETS`` others."""
+    asked = reliable(asked)
+    often = asked.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("parts"))
+    # A pivot that many meet is spread before it meets its own row.
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64("other"), F.lit(SALTS)))
+    many = asked.select("pivot", "salt").distinct().join(often, "pivot")
+    others = asked.join(many, ["pivot", "salt"]).select("pivot", F.pmod(F.xxhash64(F.lit(6), "other"), F.col("parts")).cast("int").alias("part"), "other")
+    others = others.join(content.withColumnRenamed("rep", "other"), "other")
+    whole = content.select(F.col("rep").alias("r"), F.col("n").alias("p_n"), F.col("tokens").alias("p_tokens"))
+    pivots = often.select(F.col("pivot").alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p_part")).join(whole, F.col("p") == F.col("r")).drop("r")
+    star = trim(_star)
+    return reliable(others.groupBy("pivot", "part").cogroup(pivots.groupBy("p", "p_part")).applyInArrow(lambda o, p: star(o, p), "a long, b long"))
 
 
 def jaccard_report(docs: DataFrame) -> DataFrame:
@@ -333,8 +408,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     The texts aren't shuffled for it where the losers' ids are few enough to broadcast; Spark decides by their size.
     """
-    found = jaccard_components(docs)
-    losers = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_id"), F.col("_lm_key").alias("_key")).distinct()
-    kept = docs.join(losers, (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left_anti")
+    found, id_, key = jaccard_components(docs), free_name(docs, "_lm_id"), free_name(docs, "_lm_key")
+    losers = found.where("component_id <> doc_id").select(F.col("doc_id").alias(id_), F.col("_lm_key").alias(key)).distinct()
+    kept = docs.join(losers, (docs["doc_id"].cast("long") == losers[id_]) & (F.xxhash64(docs["text"]) == losers[key]), "left_anti")
     again = found.groupBy("doc_id", "_lm_key").count().where("count > 1 and doc_id is not null").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if again else kept
