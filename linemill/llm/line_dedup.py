@@ -10,8 +10,8 @@ same document. Whether it does is judged on the input, not on what is left.
 
 Defined results: lines end at a line feed; blank lines are neither compared nor deleted; what remains is joined by
 line feeds as before. A null text stays null and has no lines. Repeated rows lose all runs but those of the first.
-All columns are kept, ``n_chars`` is counted anew if there is one; columns named ``_lm_chunk``, ``_lm_lines`` or
-``_lm_removed`` raise, as results bear these names. An empty table gives an empty table.
+All columns are kept, ``n_chars`` is counted anew if there is one; where the table has columns of the names of the counts,
+these get an underscore more. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linemill.llm._common import hex_sha256, reserve
-from linemill.llm._repeats import CHUNK, Anchors, find_repeats, runs_of, short_of
+from linemill.llm._common import free_name, hex_sha256, plain, renamed
+from linemill.llm._repeats import Anchors, find_repeats, runs_of, short_of
 from linemill.llm._tokens import NOT_NEWLINE, U, Words, flat, grams, mix, window_minimum
 
 RUN_LINES, LONG_WORDS = 2, 50
@@ -102,17 +102,22 @@ def _finish(texts: pa.Table, begin: np.ndarray, end: np.ndarray) -> pa.Table:
 
 def dedup_lines(docs: DataFrame, chunk_bytes: int = 8 << 20, run_lines: int = RUN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
     """The rows of docs without later repeated runs, with ``_lm_lines`` and ``_lm_removed`` (counts of lines)."""
-    kept = docs.schema.fieldNames()
-    reserve(docs, CHUNK, "_lm_lines", "_lm_removed")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lm_lines", T.LongType()), T.StructField("_lm_removed", T.LongType())])
+    rows, kept = plain(docs, "doc_id", "text", "n_chars")
+    schema = T.StructType([*rows.schema.fields, T.StructField("_lm_lines", T.LongType()), T.StructField("_lm_removed", T.LongType())])
 
     def finish(texts: pa.Table, begin: np.ndarray, end: np.ndarray) -> pa.Table:
         return _finish(texts, begin, end).select([*kept, "_lm_lines", "_lm_removed"])
 
-    done = find_repeats(docs, lambda t: Lines(t, run_lines, long_words), finish, schema, chunk_bytes)
+    done = find_repeats(rows, lambda t: Lines(t, run_lines, long_words), finish, schema, chunk_bytes)
     if "n_chars" in kept:
         done = done.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return done
+    return done.select(*renamed(done, kept, docs.columns), F.col("_lm_lines").alias(free_name(docs, "_lm_lines")), F.col("_lm_removed").alias(free_name(docs, "_lm_removed")))
+
+
+def drop_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of docs without later repeated runs; those of which nothing else was left go."""
+    done, removed = dedup_lines(docs), free_name(docs, "_lm_removed")
+    return done.where((F.col(removed) == 0) | (F.trim("text") != "")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def line_report(docs: DataFrame) -> DataFrame:

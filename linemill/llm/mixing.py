@@ -18,7 +18,8 @@ fold, and reweighted to the domains' shares among all labelled rows.
 Defined results: tokens are runs of bytes other than space and 9 to 13; null or wordless texts have none and don't
 count. Without labels all posteriors are equal. A target of a domain that no document belongs to can't be met; the least
 squares come as near as they can. Rows that repeat an id get rates of their own, by their texts. Extra columns are kept by
-``mix``; an empty table gives an empty table.
+``mix``; where one has the name of a column that ``mix`` adds, the latter gets an underscore more. An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linemill.llm._common import reliable
+from linemill.llm._common import free_name, plain, reliable, renamed
 from linemill.llm._features import HELD_OUT, NAMES, Adam, Scale, bounded, dense, fold
 from linemill.llm._tokens import ALNUM, NOT_SPACE, U, Words, flat, slices
 
@@ -266,9 +267,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
 
     Texts are scored twice (once for the rates, once for the rows), which is cheaper than shuffling them.
     """
-    model = train(docs, labels)
+    model = train(docs.select("doc_id", "text"), labels)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = reliable(memberships(slim, model).select("_lm_tokens", "_lm_p"))
-    clash = {"n_tokens", "rate", "copies", *(f"p_{d}" for d in DOMAINS)} & set(docs.columns)
-    residuals, _ = fit_rates(table, targets, budget)
-    return _with_rates(memberships(docs.drop(*clash), model), residuals).where("rate > 0")
+    steps, _ = fit_rates(reliable(memberships(slim, model).select("_lm_tokens", "_lm_p")), targets, budget)
+    rows, names = plain(docs, "doc_id", "text")
+    rated = _with_rates(memberships(rows, model), steps).where("rate > 0")
+    own = ["n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", "copies"]
+    return rated.select(*renamed(rated, names, docs.columns), *(F.col(c).alias(free_name(docs, c)) for c in own))

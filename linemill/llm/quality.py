@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linemill.llm._common import plain, renamed
 from linemill.llm._features import HELD_OUT, Adam, Scale, bounded, dense, fold, sigmoid
 from linemill.llm._tokens import slices
 
@@ -132,4 +133,6 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier accepts."""
-    return score_texts(docs, train(docs, labels)).where(F.col("_lm_score") >= ACCEPT_AT).select(*docs.columns)
+    rows, names = plain(docs, "doc_id", "text")
+    accepted = score_texts(rows, train(docs.select("doc_id", "text"), labels)).where(F.col("_lm_score") >= ACCEPT_AT)
+    return accepted.select(*renamed(accepted, names, docs.columns))

@@ -71,6 +71,40 @@ def test_mixing_awkward_tables(spark):
         assert mixing.mixture_report(cases.frame(spark), lab).count() == len(cases.rows())
     assert mixing.mixture_report(cases.empty(spark), labels).count() == 0
     assert {"doc_id", "text", "rate", "copies", "chunk"} <= set(mixing.mix(cases.frame(spark), labels).columns)
+    mixed = mixing.mix(cases.frame(spark), labels)
+    assert mixed.columns == [*cases.frame(spark).columns, "n_tokens", "p_prose", "p_toxic", "p_low_", "rate_", "copies_"]
+    assert {(r.rate, r.copies) for r in mixed.collect()} == {cases.EXTRA[3:5]}
+
+
+def test_columns_of_the_operators_own_names(spark):
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 5 == 0)) for i in range(0, 100)], "doc_id long, quality int, toxic int")
+    df = cases.frame(spark).selectExpr("*", "1 as _lm_score", "2 as _lm_tokens", "3 as _lm_p")
+    assert quality.keep_good(df, labels).columns == df.columns
+    assert {(r._lm_tokens, r._lm_p) for r in mixing.mix(df, labels).collect()} == {(2, 3)}
+
+
+def test_non_negative_risk_like_a_plain_computation():
+    """A slow restatement of the fit: losses and gradients by finite differences, one coordinate at a time."""
+    rng = np.random.default_rng(7)
+    p, u, prior = rng.normal(0.8, 0.6, (40, 2)), rng.normal(0, 1, (60, 2)), 0.6
+    model = quality.fit_non_negative(p, u, prior)
+    z = lambda x, w: model.scale(x) @ w
+    loss = lambda s: np.mean(np.log1p(np.exp(-s)))  # noqa: E731  of a score that should be positive
+
+    def parts(w):
+        return prior * loss(z(p, w)), loss(-z(u, w)) - prior * loss(-z(p, w))
+
+    def objective(w, back):
+        positive, negative = parts(w)
+        return (positive + negative if not back else -negative) + quality.DECAY / 2 * w @ w
+
+    w, m, v = np.zeros(3), np.zeros(3), np.zeros(3)
+    for t in range(1, quality.STEPS + 1):
+        back = parts(w)[1] < 0
+        g = np.array([(objective(w + 1e-5 * e, back) - objective(w - 1e-5 * e, back)) / 2e-5 for e in np.eye(3)])
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - quality.RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    assert np.abs(w - model.weights).max() < 1e-3
 
 
 def test_production_targets_of_rare_domains(spark):
