@@ -24,8 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines go from the texts; documents of which nothing is left go too."""
-    done = line_dedup.dedup_lines(docs)
-    return done.where("_lm_removed = 0 or trim(text) <> ''").select(*docs.columns)
+    return line_dedup.drop_repeats(docs)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
