@@ -55,6 +55,19 @@ def column_stats(assigned: DataFrame) -> DataFrame:
     )
 
 
+def column_stats_of_lines(parsed_lines: DataFrame) -> DataFrame:
+    """``column_stats`` from parsed lines (block_id, line_no, skeleton, vars) that have no ids yet: lines are parsed once,
+    equal values are counted before they are shuffled, and ids are given to what is left, one row a column."""
+    long = parsed_lines.select("block_id", "skeleton", "line_no", F.posexplode_outer("vars").alias("col_idx", "value"))
+    by_value = long.groupBy("block_id", "skeleton", "col_idx", "value").agg(F.count("*").alias("n"), F.min("line_no").alias("first"))
+    found = by_value.groupBy("block_id", "skeleton", "col_idx").agg(
+        F.sum("n").alias("n_values"), F.count("value").alias("n_distinct"), F.sum(F.col("n") * F.octet_length("value")).alias("n_bytes"), F.min("value").alias("least"), F.max("value").alias("greatest"), F.min("first").alias("first"),
+    )
+    placed = found.withColumn("first", F.min("first").over(Window.partitionBy("block_id", "skeleton")))
+    template = (F.dense_rank().over(Window.partitionBy("block_id").orderBy("first")) - 1).alias("template_id")
+    return placed.select("block_id", template, "col_idx", "n_values", "n_distinct", "n_bytes", "least", "greatest").where("col_idx is not null")
+
+
 def sample_buffer(assigned: DataFrame, registry: DataFrame) -> DataFrame:
     """(block_id, n_values, sample): the values on which the layout is decided, in template, column and row order."""
     first = cells(assigned.where(F.col("template_id") < SAMPLE_TEMPLATES)).where(F.col("row_ord") < SAMPLE_VALUES)

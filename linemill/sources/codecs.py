@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import bz2
 import lzma
 import zlib
@@ -59,6 +60,26 @@ def xz(dictionary: int) -> Codec:
     return _xz(dictionary)
 
 
-def codec(name: str) -> Codec:
-    """By name; 'auto' and names that nobody registered mean the default."""
-    return CODECS.get(name, CODECS["xz"])
+def codec(name: str | Codec) -> Codec:
+    """By name ('auto' is the default codec), or as ``portable`` spelt it. Names that nobody registered raise."""
+    if isinstance(name, Codec):
+        return name
+    if name.startswith("codec:"):
+        from pyspark import cloudpickle
+
+        return cloudpickle.loads(base64.b64decode(name[6:]))
+    if name != "auto" and name not in CODECS:
+        raise ValueError(f"no codec {name!r}: register it, or take one of {', '.join(sorted(CODECS))}")
+    return CODECS["xz" if name == "auto" else name]
+
+
+BUILT_IN = frozenset(CODECS)
+
+
+def portable(name: str | Codec) -> str:
+    """A codec as text that every worker understands: its name if it is built in, else its functions."""
+    if isinstance(name, str) and (name in BUILT_IN or name == "auto"):
+        return name
+    from pyspark import cloudpickle
+
+    return "codec:" + base64.b64encode(cloudpickle.dumps(codec(name))).decode()

@@ -1,7 +1,7 @@
 """Bytes of a block: templates, ids and columns laid out for a codec, and back. Plain Python and NumPy, no Spark.
 
 A block is header (crc32, three lengths, flag) and up to three streams; an indexed archive is a row of solid blocks,
-an index of 25 bytes each, and a footer.
+an index of 29 bytes each, and a footer.
 """
 
 from __future__ import annotations
@@ -12,13 +12,15 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 from linemill.functions.tokens import PLACEHOLDER, SEPARATOR
 from linemill.sources.codecs import Codec
 
-#: Layouts of header, index entry and footer (little-endian), the footer's magic, and the flags.
-HEADER, ENTRY, FOOTER = struct.Struct("<IIIIB"), struct.Struct("<QQQB"), struct.Struct("<Q5s")
-MAGIC = bytes([0x43, 0x41, 0x53, 0x54, 0x01])
+#: Layouts of header, index entry and footer (little-endian), and the flags. The index is this project's own:
+#: an entry has a checksum, and the magic differs.
+HEADER, ENTRY, FOOTER = struct.Struct("<IIIIB"), struct.Struct("<QQQBI"), struct.Struct("<Q5s")
+MAGIC = b"LMIX\x01"
 RAW, LATIN, LOW = 255, 0x80, 0x7F
 NO_IDS, ONE_BYTE, TWO_BYTES, FOUR_BYTES = 3, 2, 0, 1
 _WIDTH = {ONE_BYTE: "<u1", TWO_BYTES: "<u2", FOUR_BYTES: "<u4"}
@@ -58,7 +60,7 @@ class Parsed:
 
     skeletons: list[str]
     ids: np.ndarray
-    columns: list[list[list[str]]]
+    columns: list[list[list[str] | pa.Array]]
     latin: bool = False
 
 
@@ -96,16 +98,28 @@ def streams(p: Parsed) -> tuple[bytes, bytes, bytes]:
     out = []
     for template in p.columns:
         for column in template:
-            joined = VALUE_END.join(stuffed(v.encode()) for v in column)
-            out.append(joined + COLUMN_END)
+            out.append(_joined(column) + COLUMN_END)
     return registry, ids, b"".join(out)
 
 
+def _joined(column: list[str] | pa.Array) -> bytes:
+    """A column's values, stuffed where that is needed, with an end byte between them."""
+    if isinstance(column, list):
+        return VALUE_END.join(stuffed(v.encode()) for v in column)
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    if (raw <= 2).any():
+        return VALUE_END.join(stuffed(v) for v in column.to_pylist())
+    return np.insert(raw, at[1:-1] - at[0], VALUE_END[0]).tobytes()
+
+
 def sample_of(p: Parsed, templates: int = 5, values: int = 50, stop: int = 2000) -> bytes:
     out: list[str] = []
     for columns in p.columns[:templates]:
         for column in columns:
-            out += column[:values]
+            out += column[:values] if isinstance(column, list) else column[:values].to_pylist()
         if len(out) > stop:
             break
     return "".join(out).encode()
@@ -194,8 +208,7 @@ def opened(block: Stored, codec: Codec) -> list[bytes]:
     """The lines of a stored block, checked against its checksum before anything is given out."""
     try:
         if block.flag == RAW:
-            lines = codec.decompress(block.c_vars).split(b"\n")
-            lines = [x + b"\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
+            lines = lines_of(codec.decompress(block.c_vars))
         elif block.solid:
             data = codec.decompress(block.c_vars)
             lines = _opened_solid(data, block.flag)
@@ -220,7 +233,7 @@ def _opened_solid(data: bytes, flag: int) -> list[bytes]:
     return restored_lines(data[8 : 8 + n_reg], data[8 + n_reg : 8 + n_reg + stored_ids], n_ids, data[8 + n_reg + stored_ids :], flag)
 
 
-# Indexed archives: each block is flag and solid streams, compressed as one; no checksum is stored.
+# Indexed archives: each group is flag and solid streams, compressed as one; its checksum stands in the index.
 
 
 def group_bytes(p: Parsed, codec: Codec) -> bytes:
@@ -228,19 +241,34 @@ def group_bytes(p: Parsed, codec: Codec) -> bytes:
     return codec.compress(bytes([flag_of(len(p.skeletons)) | (LATIN if p.latin else 0)]) + _solid(p))
 
 
-def opened_group(data: bytes, codec: Codec) -> list[bytes]:
-    plain = codec.decompress(data)
-    if len(plain) < 9:
+def lines_of(data: bytes) -> list[bytes]:
+    lines = data.split(b"\n")
+    return [x + b"\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
+
+
+def opened_group(data: bytes, codec: Codec, crc32: int, raw: bool = False) -> list[bytes]:
+    """The lines of a group, checked against its checksum before anything is given out."""
+    try:
+        plain = codec.decompress(data)
+    except Exception as e:
+        raise Corrupt(str(e)) from e
+    if raw:
+        lines = lines_of(plain)
+    elif len(plain) < 9:
         raise Corrupt("a block of under 9 bytes")
-    return _opened_solid(plain[1:], plain[0])
+    else:
+        lines = _opened_solid(plain[1:], plain[0])
+    if zlib.crc32(b"".join(lines)) != crc32:
+        raise Corrupt("checksum")
+    return lines
 
 
-def index_bytes(entries: list[tuple[int, int, int, int]], at: int) -> bytes:
-    """entries: (offset, size, rows, kind) of each group; at: where the index begins."""
+def index_bytes(entries: list[tuple[int, int, int, int, int]], at: int) -> bytes:
+    """entries: (offset, size, rows, kind, crc32) of each group; at: where the index begins."""
     return struct.pack("<I", len(entries)) + b"".join(ENTRY.pack(*e) for e in entries) + FOOTER.pack(at, MAGIC)
 
 
-def read_index(tail_of) -> list[tuple[int, int, int, int]]:
+def read_index(tail_of) -> list[tuple[int, int, int, int, int]]:
     """``tail_of(offset, size)`` reads bytes; a negative offset counts from the end."""
     at, magic = FOOTER.unpack(tail_of(-FOOTER.size, FOOTER.size))
     if magic != MAGIC:

@@ -128,4 +128,98 @@ def test_codecs():
     register("twice", lambda x: x + x, lambda x: x[: len(x) // 2])
     for name in CODECS:
         assert codec(name).decompress(codec(name).compress(data)) == data
-    assert codec("unknown") is CODECS["xz"] and xz(1 << 16).decompress(codec("xz").compress(data)) == data
+    with pytest.raises(ValueError, match="no codec 'unknown'"):
+        codec("unknown")
+    assert codec("auto") is CODECS["xz"] and xz(1 << 16).decompress(codec("xz").compress(data)) == data
+
+
+def test_a_registered_codec_works_on_workers(spark, tmp_path):
+    register("marked", lambda x: b"MARK" + zlib.compress(x), lambda x: zlib.decompress(x[4:]))
+    payload = b"".join(b"k%d,%d\n" % (i, i * 7) for i in range(500))
+    encoded = engine.encode(blocks(spark, payload), "marked").cache()
+    assert bytes(encoded.first().c_vars).startswith(b"MARK") and bytes(engine.decode(encoded, "marked").first().payload) == payload
+    assert engine.verify(encoded, "marked").first().ok
+    path = str(tmp_path / "x.idx")
+    archive.write_indexed(r.parsed(b.lines_of_blocks(blocks(spark, payload)), "strict"), path, 100, "marked")
+    assert open(path, "rb").read().startswith(b"MARK") and archive.read_archive(spark, path, "marked", indexed=True, rows=(7, 8)).count() == 2
+    with pytest.raises(ValueError, match="no codec"):
+        engine.encode(blocks(spark, payload), "brotly")
+
+
+def test_encode_options(spark):
+    payload = b"".join(b"k%d,%d\n" % (i, i * 7) for i in range(500))
+    found = engine.encode(blocks(spark, payload), "zlib", chunk_bytes=1000, check=True).collect()
+    assert len(found) > 4 and sum(x.size_in for x in found) == len(payload) and sum(x.n_lines for x in found) == 500
+    small = engine.encode(blocks(spark, payload), dictionary=4096, check=True)
+    assert bytes(engine.decode(small).first().payload) == payload
+    register("broken", lambda x: zlib.compress(x[:-1]), zlib.decompress)
+    with pytest.raises(Exception, match="checksum|no end|don't fit|few values|doesn't come back"):
+        engine.encode(blocks(spark, payload), "broken", check=True).collect()
+
+
+def test_groups_are_guarded_and_checked(spark, tmp_path):
+    payload = b"".join(b"k%d,%d\n" % (i, i * 7) for i in range(250)) + "a \ue000 line\n".encode() + b"\x01\x02\x03\x04" * 30 + b"\n" + b"z 1\n" * 98
+    payload += "".join("=" * i + "\n" for i in range(1, 221)).encode()
+    path = str(tmp_path / "x.idx")
+    lines = b.lines_of_blocks(blocks(spark, payload))
+    archive.write_indexed(r.parsed(lines, "strict"), path, 110, "zlib")
+    want = [x.decode() for x in framing.lines_of(payload)]
+    read = lambda **k: [x.line for x in archive.read_archive(spark, path, "zlib", indexed=True, **k).orderBy("row_no").collect()]
+    assert read() == want and read(rows=(248, 300)) == want[248:301]
+    raw = bytearray(open(path, "rb").read())
+    at, _ = framing.FOOTER.unpack(raw[-framing.FOOTER.size :])
+    kinds = [framing.ENTRY.unpack_from(raw, at + 4 + i * framing.ENTRY.size)[3] for i in range(6)]
+    assert kinds == [0, 0, 1, 0, 1, 0]
+    raw[at + 4 + framing.ENTRY.size - 1] ^= 1  # the first group's checksum
+    (tmp_path / "bad.idx").write_bytes(raw)
+    with pytest.raises(Exception, match="checksum"):
+        archive.read_archive(spark, str(tmp_path / "bad.idx"), "zlib", indexed=True).collect()
+    assert archive.read_archive(spark, str(tmp_path / "bad.idx"), "zlib", indexed=True, rows=(150, 160)).count() == 11
+
+
+def test_archives_of_parts(spark, tmp_path):
+    payloads = [b"a 1\nb 2\n", b'"x",5\n' * 50, b"\x00" * 30, b"last 9\n"]
+    encoded = engine.encode(blocks(spark, *payloads).repartition(3), "zlib")
+    archive.write_archive(encoded, str(tmp_path / "x"), parts=True)
+    got = archive.read_archive(spark, str(tmp_path / "x"), "zlib").orderBy("block_id", "row_no").collect()
+    assert "".join(x.line for x in got).encode() == b"".join(payloads)
+    lines = b.lines_of_blocks(blocks(spark, payloads[1] * 10))
+    archive.write_indexed(r.parsed(lines, "strict"), str(tmp_path / "y"), 100, "zlib", parts=True)
+    part = archive.read_archive(spark, str(tmp_path / "y"), "zlib", indexed=True, rows=(250, 253))
+    assert part.count() == 4 and part.rdd.getNumPartitions() == 1
+    archive.write_restored(engine.decode(encoded, "zlib"), str(tmp_path / "whole"))
+    assert (tmp_path / "whole").read_bytes() == b"".join(payloads)
+
+
+def test_files_in_chunks_of_lines(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    data = {"a": b"".join(b"line %d\r\n" % i for i in range(1000)) + b"no end", "b": b"x" * 5000 + b"\n" + b"y\n" * 10, "c": b"", "d": "é€\n".encode() * 700}
+    for name, x in data.items():
+        (tmp_path / "in" / name).write_bytes(x)
+    for size in (1, 7, 1000, 1 << 20):
+        found = archive.read_chunks(spark, str(tmp_path / "in") if size > 7 else str(tmp_path / "in" / "b"), size).collect() if size > 1 else []
+        by: dict = {}
+        for x in sorted(found, key=lambda x: x.block_id):
+            by[x.block_id.split("#")[0][-1]] = by.get(x.block_id.split("#")[0][-1], b"") + bytes(x.payload)
+            assert bytes(x.payload).endswith(b"\n") or bytes(x.payload).endswith(b"no end")
+        if size > 7:
+            assert by == {k: v for k, v in data.items() if v}
+        elif size == 7:
+            assert by == {"b": data["b"]}
+
+
+def test_progress_is_told(spark):
+    told = []
+    with engine.progress(spark, lambda done, of: told.append((done, of)), 0.05):
+        engine.verify(engine.encode(blocks(spark, *[b"k1,2\n" * 20_000] * 8), "xz")).collect()
+    assert told[-1] == (1, 1) and all(0 <= a <= n for a, n in told)
+
+
+def test_benchmark_is_verified_and_judged(spark):
+    payload = b"".join(b"k%d,%d,%d\n" % (i, i * 7, i % 9) for i in range(3000))
+    got = engine.benchmark(blocks(spark, payload), ["xz", "zstd", "zlib"]).orderBy("rank").collect()
+    assert [x.rank for x in got] == [1, 2, 3, 4] and got[0].verdict in ("WIN", "LOSS") and got[1].verdict is None
+    assert {x.algorithm: x.size for x in got}["zlib"] == len(zlib.compress(payload, 9))
+    register("liar", lambda x: b"", lambda x: b"")
+    with pytest.raises(Exception, match="liar"):
+        engine.benchmark(blocks(spark, payload), ["liar"]).collect()

@@ -22,3 +22,82 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(ORACLES) <= set(__spark_entry__.queries())
+
+
+def test_checksums_like_zlib(spark):
+    import zlib
+
+    texts = {x.doc_id: x.text for x in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {x.doc_id: x.crc32 for x in QUERIES["q22_crc32"](spark, SF).collect()} == {i: zlib.crc32(t.encode()) for i, t in texts.items()}
+
+
+def _payloads(spark, *names):
+    from linemill.operators import blocks as b
+    from linemill.plans.sources import lines
+
+    return {(n, x.block_id): bytes(x.payload) for n in names for x in b.blocks_of_lines(lines(spark, SF, n)).collect()}
+
+
+def test_layouts_by_recomputation(spark):
+    import re
+
+    from linemill.sources import framing
+    from linemill.sources.codecs import codec
+
+    found = _payloads(spark, "events", "part", "url", "html")
+    got = {(x.source, x.block_id): x for x in QUERIES["q24_layout_decision"](spark, SF).collect()}
+    assert set(got) == set(found)
+    quoted = r'"(?:[^"\\]|""|\\.)*"'
+    kinds = {"strict": r"0x[0-9a-fA-F]+|-?[0-9]+(?:\.[0-9]+)?", "aggressive": r"[a-zA-Z0-9_.:\-]+"}
+    for key, payload in found.items():
+        lines = [x.decode() for x in framing.lines_of(payload)]
+        cut = lambda kind, x: re.sub(rf"(?s){quoted}|{kinds[kind]}", lambda m: '"\0"' if m[0][0] == '"' else "\0", x)
+        sample = [cut("strict", re.sub(r"\r?\n$", "", x)) for x in lines[:1000]]
+        mode = "aggressive" if len(set(sample)) / len(sample) > 0.1 else "strict"
+        templates = list(dict.fromkeys(cut(mode, x) for x in lines))
+        limit = max(int((len(lines) + 1) * {"aggressive": 0.4, "strict": 0.25}[mode]), 100) + 1
+        assert got[key].mode == mode and (got[key].reason is None) == (len(templates) <= limit)
+        if got[key].reason:
+            assert (got[key].layout, got[key].flag, got[key].n_templates) == ("passthrough", framing.RAW, 0)
+            continue
+        columns = []
+        for s in templates:
+            rows = [[v[1:-1] if v[0] == '"' else v for v in re.findall(rf"(?s){quoted}|{kinds[mode]}", x)] for x in lines if cut(mode, x) == s]
+            columns.append([list(c) for c in zip(*rows, strict=True)])
+        sampled: list = []
+        for table in columns[:5]:
+            for column in table:
+                sampled += column[:50]
+            if len(sampled) > 2000:
+                break
+        text = "".join(sampled).encode()
+        split = len(templates) < 256 and text and len(text) / len(codec("zstd").compress(text)) < 3.0
+        assert (got[key].layout, got[key].n_templates) == ("split" if split else "unified", len(templates))
+        assert got[key].flag == (3 if len(templates) == 1 else 2 if len(templates) < 256 else 0)
+
+
+def test_sizes_by_recomputation(spark):
+    from linemill.operators import blocks as b
+    from linemill.plans import engine
+    from linemill.plans.sources import lines
+
+    found = _payloads(spark, "orders")
+    row = QUERIES["q30_size_report"](spark, SF).first()
+    out = sum(17 + len(x.c_reg) + len(x.c_ids) + len(x.c_vars) for x in engine.encode(b.blocks_of_lines(lines(spark, SF, "orders")), "zstd").collect())
+    assert (row.n_blocks, row.size_in, row.size_out) == (len(found), sum(map(len, found.values())), out) and abs(row.ratio - row.size_in / out) < 1e-9
+
+
+def test_competitors_by_recomputation(spark):
+    from linemill.sources.codecs import codec
+
+    found = _payloads(spark, "part", "customer", "nation", "url")
+    got = QUERIES["q36_competitors"](spark, SF).collect()
+    want = {(f"{n}/{i}", a): len(codec(a).compress(p)) for (n, i), p in found.items() for a in ("xz", "zstd", "zlib", "bz2")}
+    assert {(x.file, x.algorithm): x.size for x in got if x.algorithm != "own"} == want
+    by: dict = {}
+    for x in sorted(got, key=lambda x: (x.file, x.rank)):
+        by.setdefault(x.file, []).append(x)
+    for rows in by.values():
+        assert [x.size for x in rows] == sorted(x.size for x in rows) and len(rows) == 5
+        assert rows[0].verdict == ("WIN" if rows[0].algorithm == "own" else "LOSS") and rows[0].diff_vs_winner == 0
+        assert abs(rows[0].saving_pct - (rows[1].size - rows[0].size) * 100 / rows[1].size) < 1e-9
