@@ -45,6 +45,8 @@ SAMPLE, WORDS, TOLERANCE = 4_000, 256, 1e-4
 #: Plain steps that are still taken one by one; lengths at which a scaled step is tried; rounds after which a warning says
 #: that the fit has not ended.
 PLAIN, LENGTHS, PASSES = 100, (2.0, 1.0, 0.5, 0.25, 0.0625), 1_000
+#: Partitions of the texts whose numbers a task of the fit takes.
+GATHER = 16
 #: Chi-square below which a word counts as noise (with two degrees of freedom one word in 300,000 reaches it by chance).
 SURE = 25.0
 
@@ -208,6 +210,9 @@ def fit_rates(table: DataFrame, targets: dict[str, float], budget: float) -> tup
     zero: one pass weighs it at several lengths and beside the plain step, and the best is taken, so that the squares
     always fall. It ends where all targets are met, or where no step makes the squares less.
     """
+    # A row is a few numbers where its text was thousands of bytes: a pass takes many of the text's partitions in a task.
+    context = table.sparkSession.sparkContext
+    table = table.coalesce(max(context.defaultParallelism, table.rdd.getNumPartitions() // GATHER))
     goal = np.array([targets.get(d, 0.0) for d in DOMAINS]) * budget
     near = np.where(goal > 0, np.minimum(TOLERANCE, goal / 100), TOLERANCE)
     steps, none = np.zeros((0, len(DOMAINS))), np.zeros((1, len(DOMAINS)))
