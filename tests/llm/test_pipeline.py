@@ -28,3 +28,24 @@ def test_stages(spark, tmp_path):
         if i == 4:
             assert all(r.rate > 0 and r.copies >= 0 for r in kept.values())
         before = after
+
+
+def test_run_with_awkward_rows(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = docs.orderBy("doc_id").limit(1).collect()[0]
+    odd = [(900_001, None, None, None, None), (900_002, "", "en", "web", 0), (good.doc_id, good.text, good.lang, good.source, good.n_chars), (None, good.text, None, None, None), (900_003, good.text, "en", "web", good.n_chars), (900_004, "\n\n \n", "en", "web", 4)]
+    table = docs.unionByName(spark.createDataFrame(odd, docs.schema)).selectExpr("*", "doc_id % 7 as rate", "'kept' as _lm_chunk")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns[:7] == table.columns and got.columns[-2:] == ["rate_", "copies"]
+    rows = got.collect()
+    ids = [r.doc_id for r in rows]
+    assert {r._lm_chunk for r in rows} == {"kept"} and set(ids) <= {r.doc_id for r in docs.collect()} | {900_001, 900_002, 900_004, None}
+    assert all(r.rate == r.doc_id % 7 for r in rows if r.doc_id is not None) and len(ids) == len(set(ids)) > 100
+    empty = tmp_path / "empty"
+    docs.limit(0).write.parquet(str(empty / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(empty / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
