@@ -48,6 +48,21 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: The keys of rows that go are broadcast only if they are known to take no more, at so many bytes a row.
+GONE_BYTES, GONE_ROW = 32 << 20, 64
+
+
+def without(docs: DataFrame, gone: DataFrame, broadcast_bytes: int = GONE_BYTES) -> DataFrame:
+    """The rows of docs but those whose id and text's hash are a row of ``gone`` (doc_id, _lm_key).
+
+    The texts aren't shuffled while the keys are few enough to broadcast; beyond, both sides are joined by a shuffle.
+    """
+    id_, key = free_name(docs, "_lm_id"), free_name(docs, "_lm_key")
+    keys = reliable(gone.select(F.col("doc_id").alias(id_), F.col("_lm_key").alias(key)).distinct())
+    keys = F.broadcast(keys) if keys.count() * GONE_ROW <= broadcast_bytes else keys.hint("merge")
+    return docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & F.xxhash64("text").eqNullSafe(F.col(key)), "left_anti")
+
+
 def plain(df: DataFrame, *read: str) -> tuple[DataFrame, list[str]]:
     """The table with names of its own for all columns but those that are read, so that none clashes with what an operator
     adds; and the names, in the table's order."""

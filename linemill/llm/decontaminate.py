@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linemill.llm._common import free_name, hex_sha256, reliable
+from linemill.llm._common import hex_sha256, reliable, without
 from linemill.llm._tokens import ALNUM, LOWER, U, Words, flat, grams, mix, slices, window_minimum
 
 WINDOW, GRAM = 10, 5
@@ -157,6 +157,4 @@ def contamination_report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that share no window with an item."""
-    id_, key = free_name(docs, "_lm_id"), free_name(docs, "_lm_key")
-    bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias(id_), F.col("_lm_key").alias(key)).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad[id_]) & F.xxhash64(docs["text"]).eqNullSafe(bad[key]), "left_anti")
+    return without(docs, contamination(docs, items).where("contaminated"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linemill.llm._common import free_name, release, reliable
+from linemill.llm._common import release, reliable, without
 from linemill.llm._repeats import BUCKET, CHUNK, REPLIES, RUNS, _replies, _runs_of, answers, grown, run_rows, spread, unpack
 from linemill.llm._tokens import NOT_SPACE, U, Words, flat, grams, mix, slices, trim
 
@@ -404,12 +404,8 @@ def jaccard_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that name their component; of rows that repeat such an id and its text one, and all without an id.
-
-    The texts aren't shuffled for it where the losers' ids are few enough to broadcast; Spark decides by their size.
-    """
-    found, id_, key = jaccard_components(docs), free_name(docs, "_lm_id"), free_name(docs, "_lm_key")
-    losers = found.where("component_id <> doc_id").select(F.col("doc_id").alias(id_), F.col("_lm_key").alias(key)).distinct()
-    kept = docs.join(losers, (docs["doc_id"].cast("long") == losers[id_]) & (F.xxhash64(docs["text"]) == losers[key]), "left_anti")
+    """The rows of docs that name their component; of rows that repeat such an id and its text one, and all without an id."""
+    found = jaccard_components(docs)
+    kept = without(docs, found.where("component_id <> doc_id"))
     again = found.groupBy("doc_id", "_lm_key").count().where("count > 1 and doc_id is not null").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if again else kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(kept.where("doc_id is null")) if again else kept

@@ -94,3 +94,20 @@ def test_large_branches_in_blocks(spark, monkeypatch):
 def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 1, 2, 3, 4), (2, "a b c d e f", 1, 2, 3, 4)], "doc_id long, text string, _id int, _key int, _lm_id int, _lm_key int")
     assert [tuple(r) for r in jaccard.keep_one(df).collect()] == [(1, "a b c d e f", 1, 2, 3, 4)]
+
+
+def test_keep_one_rows_without_an_id(spark):
+    same = "words of a text that stands in three rows"
+    df = spark.createDataFrame([(None, same), (None, same), (1, same), (1, same), (2, same), (3, "another")], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.keep_one(df).collect()), key=str) == [(1, same), (3, "another"), (None, same), (None, same)]
+
+
+def test_without_broadcast_or_shuffled(spark):
+    from linemill.llm._common import without
+
+    df = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, None, 3), (None, "a", 4), (None, None, 5), (3, "c", 6)], "doc_id long, text string, _LM_id int")
+    gone = df.where("_LM_id in (1, 3, 4)").select("doc_id", F.xxhash64("text").alias("_lm_key"))
+    for limit in (0, 1 << 20):
+        kept = without(df, gone.union(gone), limit)
+        assert kept.columns == df.columns and sorted(r["_LM_id"] for r in kept.collect()) == [2, 5, 6]
+        assert ("BroadcastHashJoin" in kept._jdf.queryExecution().toString()) == (limit > 0)
