@@ -147,18 +147,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Posterior
     return fit_posterior(x.astype(np.float64), sample_["domain"].to_numpy().astype(np.int64), vocabulary, shares)
 
 
-def memberships(docs: DataFrame, model: Posterior) -> DataFrame:
-    """The rows of docs with ``_lm_tokens`` and ``_lm_p`` (posteriors in the order of DOMAINS)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def memberships(docs: DataFrame, model: Posterior, residuals: np.ndarray | None = None) -> DataFrame:
+    """The rows of docs with ``_lm_tokens`` and ``_lm_p`` (posteriors in the order of DOMAINS); where the steps' residuals
+    are given, with ``_lm_rate`` too, so that texts go to Python and back once."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, residuals))
     schema = T.StructType([*docs.schema.fields, T.StructField("_lm_tokens", T.LongType()), T.StructField("_lm_p", T.ArrayType(T.DoubleType()))])
+    if residuals is not None:
+        schema = schema.add("_lm_rate", T.DoubleType())
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        posterior, steps = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(*flat(part["text"]), NOT_SPACE)
-                tokens, p = np.diff(words.of_text), shared.value(part["text"], words)
+                tokens, p = np.diff(words.of_text), posterior(part["text"], words)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), p.shape[1]).cast(pa.list_(pa.float64()))
-                yield pa.record_batch([*part.columns, pa.array(tokens, pa.int64()), lists], names=[*part.schema.names, "_lm_tokens", "_lm_p"])
+                rates = [] if steps is None else [pa.array(rate_of(p, steps))]
+                yield pa.record_batch([*part.columns, pa.array(tokens, pa.int64()), lists, *rates], names=schema.names)
 
     return docs.mapInArrow(predicted, schema)
 
@@ -244,27 +249,33 @@ def fit_rates(table: DataFrame, targets: dict[str, float], budget: float) -> tup
     return steps, dict(zip(DOMAINS, map(float, share), strict=True))
 
 
-def _with_rates(members: DataFrame, residuals: np.ndarray) -> DataFrame:
-    """Posteriors and tokens replaced by ``n_tokens``, ``p_<domain>``, ``rate`` and ``copies``."""
-    kept = [c for c in members.columns if c not in ("_lm_tokens", "_lm_p")]
-    fields = [f for f in members.schema.fields if f.name in kept]
-    schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), *(T.StructField(f"p_{d}", T.DoubleType()) for d in DOMAINS), T.StructField("rate", T.DoubleType())])
+def rated(members: DataFrame, residuals: np.ndarray) -> DataFrame:
+    """The rows of ``memberships`` with ``_lm_rate``."""
+    schema = T.StructType([*members.schema.fields, T.StructField("_lm_rate", T.DoubleType())])
 
-    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def with_rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = b["_lm_p"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(DOMAINS))
-            yield pa.record_batch([*(b[c] for c in kept), b["_lm_tokens"], *(pa.array(p[:, i]) for i in range(len(DOMAINS))), pa.array(rate_of(p, residuals))], names=schema.names)
+            yield pa.record_batch([*b.columns, pa.array(rate_of(p, residuals))], names=schema.names)
 
+    return members.mapInArrow(with_rate, schema)
+
+
+def _reported(rows: DataFrame) -> DataFrame:
+    """Tokens, posteriors and rate as ``n_tokens``, ``p_<domain>`` and ``rate``, with ``copies``."""
+    kept = [c for c in rows.columns if c not in ("_lm_tokens", "_lm_p", "_lm_rate")]
+    posteriors = [F.col("_lm_p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
+    named = rows.select(*kept, F.col("_lm_tokens").alias("n_tokens"), *posteriors, F.col("_lm_rate").alias("rate"))
     # A rate is rounded up or down by the hash of the row, so that the expected number of copies is the rate.
     chance = F.pmod(F.xxhash64(F.lit(4), "doc_id", "n_tokens"), F.lit(1 << 53)) / float(1 << 53)
-    return members.mapInArrow(rated, schema).withColumn("copies", F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long"))
+    return named.withColumn("copies", F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long"))
 
 
 def mixture_report(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> DataFrame:
     """(doc_id, n_tokens, p_<domain>, rate, copies) of each row."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = reliable(memberships(slim, train(docs, labels)).select("doc_id", "_lm_tokens", "_lm_p"))
-    return _with_rates(table, fit_rates(table, targets, budget)[0])
+    return _reported(rated(table, fit_rates(table, targets, budget)[0]))
 
 
 def mixture_shares(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> DataFrame:
@@ -288,6 +299,6 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     steps, _ = fit_rates(reliable(memberships(slim, model).select("_lm_tokens", "_lm_p")), targets, budget)
     rows, names = plain(docs, "doc_id", "text")
-    rated = _with_rates(memberships(rows, model), steps).where("rate > 0")
+    mixed = _reported(memberships(rows, model, steps)).where("rate > 0")
     own = ["n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", "copies"]
-    return rated.select(*renamed(rated, names, docs.columns), *(F.col(c).alias(free_name(docs, c)) for c in own))
+    return mixed.select(*renamed(mixed, names, docs.columns), *(F.col(c).alias(free_name(docs, c)) for c in own))
