@@ -15,6 +15,8 @@ QUOTED = r'"(?:[^"\\]++|""|\\.)*+"'
 TOKENS = {"strict": r"0x[0-9a-fA-F]+|-?[0-9]+(?:\.[0-9]+)?", "aggressive": r"[a-zA-Z0-9_.:\-]+"}
 #: Fixed value: so many characters of a line are read to choose the mode.
 ANALYSIS_CHARS = 16_384
+#: Fixed value: so many bytes of a block are looked at to tell whether it is binary.
+BINARY_BYTES = 4096
 
 
 def _pattern(mode: str) -> str:
@@ -107,6 +109,6 @@ def encoding(payload: Column) -> Column:
 
 def likely_binary(payload: Column) -> Column:
     """Over one in a hundred of the first 4096 bytes are control characters other than 9 to 13."""
-    head = F.decode(F.substring(payload, 1, 4096), "ISO-8859-1")
+    head = F.decode(F.substring(payload, 1, BINARY_BYTES), "ISO-8859-1")
     odd = F.length(F.regexp_replace(head, r"[^\x00-\x08\x0E-\x1F]", ""))
-    return F.coalesce(F.try_divide(odd, F.least(F.octet_length(payload), F.lit(4096))) > 0.01, F.lit(False))
+    return F.coalesce(F.try_divide(odd, F.least(F.octet_length(payload), F.lit(BINARY_BYTES))) > 0.01, F.lit(False))

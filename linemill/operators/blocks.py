@@ -20,6 +20,25 @@ def lines_of_texts(df: DataFrame, block: Column, order: list[Column], text: Colu
     return rows.select("block_id", (place - 1).cast("long").alias("line_no"), "line")
 
 
+def texts_of(df: DataFrame, block: Column, order: list[Column], text: Column) -> DataFrame:
+    """(block_id, o, text): the blocks of ``lines_of_texts`` as texts that aren't split yet, a line feed behind each; ``o`` orders them."""
+    o = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))
+    return df.where(text.isNotNull()).select(block.alias("block_id"), o.alias("o"), t.with_terminator(text).alias("text"))
+
+
+def head_lines(texts: DataFrame, n: int, n_bytes: int) -> DataFrame:
+    """(block_id, line_no, line): at least the first n lines of each block and those of its first n_bytes, from (block_id, o,
+    text). Only the texts' sizes are put in order by block, not the texts."""
+    sizes = texts.select("block_id", "o", (t.line_count(F.col("text")) - 1).alias("lines"), F.octet_length("text").cast("long").alias("bytes"))
+    before = Window.partitionBy("block_id").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.select("block_id", "o", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("lines", "bytes")))
+    first = placed.where((F.col("lines") < n) | (F.col("bytes") < n_bytes)).select(F.col("block_id").alias("b"), F.col("o").alias("first_o"))
+    found = texts.join(F.broadcast(first), F.col("block_id").eqNullSafe(F.col("b")) & F.col("o").eqNullSafe(F.col("first_o")), "left_semi")
+    pieces = found.select("block_id", "o", F.posexplode(F.slice(t.split_lines(F.col("text")), 1, max(n, n_bytes))).alias("i", "line"))
+    place = F.row_number().over(Window.partitionBy("block_id").orderBy("o", "i"))
+    return pieces.select("block_id", (place - 1).cast("long").alias("line_no"), "line")
+
+
 def lines_of_blocks(blocks: DataFrame) -> DataFrame:
     """(block_id, line_no, line) of (block_id, payload binary): no shuffle, as a block is one row."""
     return blocks.select("block_id", F.posexplode(t.split_lines(t.decoded(F.col("payload")))).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))

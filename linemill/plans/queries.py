@@ -15,7 +15,7 @@ from linemill.operators import blocks as b
 from linemill.operators import columns as c
 from linemill.operators import registry as r
 from linemill.plans import engine
-from linemill.plans.sources import lines, lines_sql
+from linemill.plans.sources import lines, lines_sql, texts
 from linemill.sources import archive
 from linemill.streaming import row_groups
 
@@ -243,7 +243,11 @@ def q23(spark, d):
 
 @_query("q24_layout_decision")
 def q24(spark, d):
-    return reduce(DataFrame.unionByName, (engine.encode(_blocks(spark, d, n), "zstd").select(F.lit(n).alias("source"), "block_id", "mode", "layout", "reason", "flag", "n_templates") for n in ("events", "part", "url", "html")))
+    # One plan for all sources: a plan for each, four times as large together, takes the driver more memory than it has.
+    named = (texts(spark, d, n).withColumn("block_id", F.concat_ws(":", F.lit(n), "block_id")) for n in ("events", "part", "url", "html"))
+    found = engine.layouts(reduce(DataFrame.unionByName, named), "zstd")
+    parts = F.split("block_id", ":", 2)
+    return found.select(F.get(parts, F.lit(0)).alias("source"), F.get(parts, F.lit(1)).alias("block_id"), "mode", "layout", "reason", "flag", "n_templates")
 
 
 #: What stands for a codec in the ranking that SQL can follow: the sizes of a table's lines with runs of digits, or of letters

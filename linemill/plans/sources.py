@@ -48,6 +48,13 @@ def lines(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return b.lines_of_texts(table, F.expr(s.block), [F.col(c) for c in s.order], F.expr(s.text))
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """(block_id, o, text) of a source: its blocks as texts that aren't split yet."""
+    s = SOURCES[name]
+    table = spark.read.parquet(f"{sf_dir}/{s.table}.parquet")
+    return b.texts_of(table, F.expr(s.block), [F.col(c) for c in s.order], F.expr(s.text))
+
+
 def lines_sql(name: str) -> str:
     """The same as a SELECT for DuckDB."""
     s = SOURCES[name]

@@ -1,6 +1,7 @@
 """Every query of the engine against its statement in DuckDB, over whole small tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from linemill.plans.queries import ORACLES, QUERIES
@@ -101,3 +102,54 @@ def test_competitors_by_recomputation(spark):
         assert [x.size for x in rows] == sorted(x.size for x in rows) and len(rows) == 5
         assert rows[0].verdict == ("WIN" if rows[0].algorithm == "own" else "LOSS") and rows[0].diff_vs_winner == 0
         assert abs(rows[0].saving_pct - (rows[1].size - rows[0].size) * 100 / rows[1].size) < 1e-9
+
+
+def test_layouts_without_whole_blocks(spark, monkeypatch):
+    from linemill.sources import codecs
+
+    def compress(data):
+        if len(data) > 20_000:
+            raise ValueError("more than a sample")
+        return known.compress(data)
+
+    known = codecs.CODECS["zstd"]
+    want = QUERIES["q24_layout_decision"](spark, SF).collect()
+    monkeypatch.setitem(codecs.CODECS, "zstd", codecs.Codec(compress, known.decompress))
+    assert sorted(QUERIES["q24_layout_decision"](spark, SF).collect()) == sorted(want) and len(want) >= 4
+
+
+def test_layouts_like_encode(spark):
+    from linemill.operators import blocks as b
+    from linemill.plans import engine
+
+    words = [f"{'abcdefghij'[i // 100]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i % 10]}" for i in range(1000)]
+    cases = {
+        "plain": [f"{i},\"x {i % 7}\",end" for i in range(3000)],
+        "no variables": ["same"] * 30,
+        "some": [f"{words[i % 90]} {i}\r\n{words[i % 5]}" for i in range(1200)],
+        "wide ids": [f"{words[i % 290]} {i}" for i in range(4000)],
+        "gated": [f"{words[i % 150]} <{'.' * (i % 150)}> {i}" for i in range(130)] + ["x"] * 20,
+        "aggressive gate": ["!" * i + words[i] for i in range(400)],
+        "collision": ["a 1", "b \ue001 2", "", "\n\n"],
+        "gate, then collision": ["!" * i + "a" for i in range(300)] + ["\ue000"],
+        "collision, then gate": ["!" * i + "a" for i in range(50)] + ["\ue000"] + ["!" * i + "a" for i in range(50, 300)],
+        "late control characters": ["fine 1"] * 700 + ["\x01" * 100],
+        "binary": ["a\x01"] * 3000,
+        "binary within short lines": [""] * 2500 + ["\x02" * 50] + ["a"] * 3000,
+        "invalid": ["a 1"],
+        None: [None, "null block 5", "", "0x1F é€ \U0001f600"],
+    }
+    rows = [(k, i // 2 if k == "plain" else i, x) for k, xs in cases.items() for i, x in enumerate(xs)]
+    for at in (100, 101, 102):  # where the template is met that is one too many: a collision there, one before and one behind
+        rows += [(f"at {at}", i, "!" * i + ("\ue000" if i == at else "a")) for i in range(140)]
+    df = spark.createDataFrame(rows, "k string, n long, x string").repartition(7)
+    df = df.unionByName(spark.sql("select 'invalid' k, 9L n, cast(X'61FF0A62FE' as string) x"))
+    args = (F.col("k"), [F.col("n"), F.col("x")], F.col("x"))
+    names = ["block_id", "mode", "layout", "reason", "flag", "n_templates"]
+    want = engine.encode(b.blocks_of_lines(b.lines_of_texts(df, *args)), "zstd").select(*names).collect()
+    got = engine.layouts(b.texts_of(df, *args), "zstd")
+    assert got.columns == names and [x.dataType for x in got.schema] == [x.dataType for x in spark.createDataFrame([], engine.ENCODED).select(*names).schema]
+    got = got.collect()
+    assert len(got) == len(want) == len(cases) + 3 and {x.block_id: x for x in got} == {x.block_id: x for x in want}
+    assert {x.layout for x in want} == {"split", "unified", "passthrough"} and {x.reason for x in want} == {None, "Collision Protected", "Passthrough [Entropy]", "Passthrough [Binary]"}
+    assert engine.layouts(b.texts_of(df.limit(0), *args)).count() == 0
