@@ -14,9 +14,11 @@ out again restores them exactly. A line feed inside a role is written ``<|nl|>``
 
 Defined results: a null text or role is empty; turns are ordered by turn number, then role, then text, nulls
 first, and repeated rows are turns of their own; a record that is null, no JSON, or has a layout without mapping
-keeps its row, with null turns and ``mapping`` null; an empty table gives an empty table. Flat rows are never written as
-JSON: their layout alone is fingerprinted, so texts and conversations may be as long as Spark's strings. JSON records that
-can't be read and are long enough to be beyond the limits of Spark's JSON reader raise instead of losing their turns.
+keeps its row, with null turns and ``mapping`` null; an empty table gives an empty table. Flat rows are gathered into nested
+records (a struct, as a table of nested fields has them), which go the same way as JSON text: fingerprint of the field paths,
+mapping, turns. Only their leaves are never written as JSON, so texts and conversations may be as long as Spark's strings and
+arrays. JSON records that can't be read and are long enough to be beyond the limits of Spark's JSON reader raise instead of
+losing their turns.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from linemill.llm._common import free_name, hex_sha256, let, running, text_or_empty
 
@@ -72,44 +75,79 @@ def shape_text(shape: dict | list | None) -> str:
     return f"ARRAY<{shape_text(shape[0])}>" if isinstance(shape, list) else ""
 
 
-def signature(record: Column) -> Column:
-    """The nested field paths of a JSON record, without the types of the leaves."""
-    return F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)), _TYPES, "")
+def signature(record: Column, kind: DataType | None = None) -> Column:
+    """The nested field paths of a record, without the types of the leaves. ``kind``: the type of one that isn't JSON text."""
+    variant = F.to_variant_object(_paths(record, kind)) if isinstance(kind, StructType) else F.try_parse_json(record)
+    return F.regexp_replace(F.schema_of_variant(variant), _TYPES, "")
 
 
-def fingerprint(record: Column) -> Column:
-    return F.xxhash64(signature(record))
+def _paths(value: Column, kind: DataType) -> Column:
+    """A nested value with empty leaves, and each kind of item once in its arrays: the same field paths, however long it is."""
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*(_paths(value[f.name], f.dataType).alias(f.name) for f in kind)))
+    if isinstance(kind, ArrayType):
+        return F.array_distinct(F.transform(value, lambda x: _paths(x, kind.elementType)))
+    if isinstance(kind, MapType):
+        raise TypeError("a nested record has structs and arrays; write maps as JSON text")
+    return F.when(value.isNotNull(), F.lit(""))
+
+
+def fingerprint(record: Column, kind: DataType | None = None) -> Column:
+    return F.xxhash64(signature(record, kind))
 
 
 def canonical_turns(df: DataFrame, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """Add ``fingerprint``, ``mapping`` (its name) and ``turns`` (array of role, text) to records."""
+    """Add ``fingerprint``, ``mapping`` (its name) and ``turns`` (array of role, text) to records: JSON text, or structs."""
     others = [F.col(f"`{c}`") for c in df.columns if c not in ("fingerprint", "mapping", "turns")]
-    record = F.col(record_col)
+    record, kind = F.col(record_col), df.select(record_col).schema[0].dataType
+    if isinstance(kind, StructType):
+        nested = free_name(df, "_nested")
+        hashed = F.when(record.isNotNull(), fingerprint(record, kind))
+        return _mapped(df.select(*others, record.alias(nested), hashed.alias("fingerprint")), others, nested, mappings, kind)
     unread = F.when(F.try_parse_json(record).isNull() & (F.length(record) >= JSON_LIMIT), F.raise_error(F.lit("a record of 20,000,000 characters or more can't be read as JSON")).cast("long"))
     hashed = unread.when(F.try_parse_json(record).isNotNull(), fingerprint(record))
     variant = free_name(df, "_variant")
     read = df.select(*others, F.try_parse_json(record).alias(variant), hashed.alias("fingerprint"))
+    return _mapped(read, others, variant, mappings)
+
+
+def _mapped(read: DataFrame, others: list[Column], record_col: str, mappings: tuple[Mapping, ...], kind: StructType | None = None) -> DataFrame:
+    """Each record's fingerprint selects its mapping, which takes the turns; ``kind``: the record's type if it is no variant."""
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for m in mappings:
         hit = F.col("fingerprint") == F.xxhash64(F.lit(shape_text(m.shape)))
-        name, turns = F.when(hit, m.name).otherwise(name), F.when(hit, _turns(F.col(variant), m)).otherwise(turns)
+        name, turns = F.when(hit, m.name).otherwise(name), F.when(hit, _turns(F.col(record_col), m, kind)).otherwise(turns)
     return read.select(*others, "fingerprint", name.alias("mapping"), turns.alias("turns"))
 
 
-def _turns(record: Column, m: Mapping) -> Column:
+def _at(record: Column, kind: DataType, path: str) -> tuple[Column, DataType | None]:
+    """The field at a path ``$.a.b`` of a struct and its type; none if its type has no such field."""
+    for step in path.split(".")[1:]:
+        if not isinstance(kind, StructType) or step not in kind.names:
+            return F.lit(None), None
+        record, kind = record[step], kind[step].dataType
+    return record, kind
+
+
+def _turns(record: Column, m: Mapping, kind: StructType | None = None) -> Column:
     def turn(role: Column, text: Column) -> Column:
         return F.struct(role.alias("role"), text.alias("text"))
 
     if m.turns is None:
-        parts = F.array(*(turn(F.lit(role), F.try_variant_get(record, path, "string")) for role, path in m.parts))
-        return F.filter(parts, lambda t: F.coalesce(F.length(t["text"]), F.lit(0)) > 0)
-    raw = F.try_variant_get(record, m.turns, f"array<struct<`{m.role}`:string,`{m.text}`:string>>")
+        found = [(role, F.try_variant_get(record, path, "string") if kind is None else _at(record, kind, path)[0].cast("string")) for role, path in m.parts]
+        return F.filter(F.array(*(turn(F.lit(role), text) for role, text in found)), lambda t: F.coalesce(F.length(t["text"]), F.lit(0)) > 0)
+    if kind is None:
+        raw = F.try_variant_get(record, m.turns, f"array<struct<`{m.role}`:string,`{m.text}`:string>>")
+    else:
+        raw, of = _at(record, kind, m.turns)
+        if not isinstance(of, ArrayType) or not isinstance(of.elementType, StructType) or not {m.role, m.text} <= set(of.elementType.names):
+            return F.lit(None).cast(TURNS)
 
     def renamed(t: Column) -> Column:
-        role = t[m.role]
+        role = given = t[m.role].cast("string")
         for old, new in m.roles.items():
-            role = F.when(t[m.role] == old, new).otherwise(role)
-        return turn(F.coalesce(role, F.lit("")), F.coalesce(t[m.text], F.lit("")))
+            role = F.when(given == old, new).otherwise(role)
+        return turn(F.coalesce(role, F.lit("")), F.coalesce(t[m.text].cast("string"), F.lit("")))
 
     return F.transform(raw, renamed)
 
@@ -163,22 +201,22 @@ def read_back(df: DataFrame, formatted_col: str = "formatted", mask_col: str = "
     return staged.select(*others, F.transform(read, turn).alias("read_turns"), cut.alias("loss_texts"))
 
 
-def records_from_rows(rows: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """(key, record): flat rows of (key, order, role, text) gathered into one JSON record each."""
+def nested_records(rows: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """(key, record): flat rows of (key, order, role, text) gathered into one nested record each."""
     turn = F.struct(F.col(order).alias("n"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text_or_empty().alias("text"))
     gathered = rows.select(F.col(key), turn.alias("t")).groupBy(key).agg(F.sort_array(F.collect_list("t")).alias("turns"))
     turns = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return gathered.select(key, F.to_json(F.struct(turns.alias("turns"))).alias("record"))
+    return gathered.select(key, F.struct(turns.alias("turns")).alias("record"))
+
+
+def records_from_rows(rows: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """(key, record): the same as JSON text."""
+    return nested_records(rows, key, order).select(key, F.to_json("record").alias("record"))
 
 
 def turns_from_rows(rows: DataFrame, key: str = "conv_id", order: str = "turn", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """(key, fingerprint, mapping, turns): flat rows of (key, order, role, text) as ``canonical_turns`` has records."""
-    turn = F.struct(F.col(order).alias("n"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text_or_empty().alias("text"))
-    gathered = rows.select(F.col(key), turn.alias("t")).groupBy(key).agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    layout = shape_text({"turns": [{"role": None, "text": None}]})
-    name = next((m.name for m in mappings if shape_text(m.shape) == layout), None)
-    turns = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return gathered.select(key, F.xxhash64(F.lit(layout)).alias("fingerprint"), F.lit(name).cast("string").alias("mapping"), turns.alias("turns"))
+    """(key, fingerprint, mapping, turns) of flat rows of (key, order, role, text): ``canonical_turns`` of their records."""
+    return canonical_turns(nested_records(rows, key, order), "record", mappings).select(key, "fingerprint", "mapping", "turns")
 
 
 def chat_report(rows: DataFrame) -> DataFrame:
